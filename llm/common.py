@@ -64,26 +64,22 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     partial sums and a join that Spark may split where a node has many links.
     The links are written to the shared folder after every round.
     """
-    edges = links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
-    edges = written(edges)
-    spark = links.sparkSession
+    edges = written(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
     if edges.isEmpty():
-        return spark.createDataFrame([], "node long, component long")
+        return links.sparkSession.createDataFrame([], "node long, component long")
     before = None
     for _ in range(max_rounds):
+        # large star: greater neighbours of u to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        # small star: the links of u to smaller nodes, and u itself, to the smallest of them
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # small star: u and its smaller neighbours to the least of them
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
         edges = written(small.where("u <> v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
-            ).distinct()
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
+            return written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct())
         before = state
     raise RuntimeError(f"links didn't settle in {max_rounds} rounds")

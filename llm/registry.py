@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import decontamination, packing, pii, secrets
+from llm import decontamination, jaccard, packing, pii, secrets
 
-QUERIES = {f.__name__: f for f in (pii.op2_pii, secrets.op4_secret_scan, packing.op5_best_fit_packing, decontamination.op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (pii.op2_pii, secrets.op4_secret_scan, jaccard.op7_ngram_jaccard_join, packing.op5_best_fit_packing, decontamination.op10_benchmark_decontamination)}
 ORACLE_SQL = {"op10_benchmark_decontamination": decontamination.ORACLE_OP10}
