@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from llm import decontamination, jaccard, packing, pii, pivots, quality, secrets, toxicity
+from llm import decontamination, html_extract, jaccard, language_model, packing, pii, pivots, quality, secrets, toxicity
 
-QUERIES = {f.__name__: f for f in (pivots.op1_embedding_near_dedup, pii.op2_pii, toxicity.op3_toxicity, quality.op6_quality, secrets.op4_secret_scan, jaccard.op7_ngram_jaccard_join, packing.op5_best_fit_packing, decontamination.op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        pivots.op1_embedding_near_dedup, pii.op2_pii, toxicity.op3_toxicity, secrets.op4_secret_scan, packing.op5_best_fit_packing, quality.op6_quality,
+        jaccard.op7_ngram_jaccard_join, language_model.op8_lm_scoring, html_extract.op9_html_extraction, decontamination.op10_benchmark_decontamination,
+    )
+}
 ORACLE_SQL = {"op10_benchmark_decontamination": decontamination.ORACLE_OP10}
