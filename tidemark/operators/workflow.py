@@ -1,0 +1,37 @@
+"""Named DataFrame steps as a graph: each step is a function of the steps it needs. Spark runs what a sink asks for."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+
+class Workflow:
+    def __init__(self):
+        self.steps: dict[str, tuple[Callable[..., DataFrame], list[str]]] = {}
+
+    def add(self, name: str, step: Callable[..., DataFrame], needs: list[str] | None = None) -> None:
+        self.steps[name] = (step, needs or [])
+
+    def problems(self) -> list[str]:
+        """Steps that need unknown ones, and cycles."""
+        out = [f"{n} needs unknown {m}" for n, (_, needs) in self.steps.items() for m in needs if m not in self.steps]
+        done: set[str] = set()
+        while ready := [n for n, (_, needs) in self.steps.items() if n not in done and all(m in done for m in needs if m in self.steps)]:
+            done.update(ready)
+        return out + [f"{n} is in a cycle" for n in self.steps if n not in done]
+
+    def run(self) -> dict[str, DataFrame]:
+        """Every step's DataFrame, in dependency order; nothing is computed before an action."""
+        if found := self.problems():
+            raise ValueError("; ".join(found))
+        out: dict[str, DataFrame] = {}
+        while len(out) < len(self.steps):
+            for name, (step, needs) in self.steps.items():
+                if name not in out and all(n in out for n in needs):
+                    out[name] = step(*(out[n] for n in needs))
+        return out
+
+    def mermaid(self) -> str:
+        return "\n".join(["graph LR", *(f"  {m} --> {n}" for n, (_, needs) in self.steps.items() for m in needs)])
