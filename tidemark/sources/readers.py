@@ -10,9 +10,12 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text as X
 
-ITEMS = T.StructType.fromDDL(
-    "id string, title string, content string, url string, source string, source_type string, author_name string, published_at timestamp, hashtags array<string>, topics array<string>, engagement long"
-)
+ITEMS = T.StructType([
+    *(T.StructField(c, T.StringType()) for c in ("id", "title", "content", "url", "source", "source_type", "author_name")),
+    T.StructField("published_at", T.TimestampType()),
+    *(T.StructField(c, T.ArrayType(T.StringType())) for c in ("hashtags", "topics")),
+    T.StructField("engagement", T.LongType()),
+])
 
 
 def as_items(df: DataFrame, source: str, source_type: str, **columns) -> DataFrame:
