@@ -130,12 +130,6 @@ def conversation_shapes(spark, sf):
     return read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.concat_ws(">", F.transform(ordered, lambda r: r["role"])).alias("path"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query("""SELECT a.item_id, count(DISTINCT d.doc_id) AS docs FROM benchmark a JOIN documents d ON contains(d.text, substr(a.text, 1, 60)) GROUP BY 1""")
-def benchmark_containment(spark, sf):
-    heads = read(spark, sf, "benchmark").select("item_id", F.substring("text", 1, 60).alias("head"))
-    return read(spark, sf, "documents").join(heads, F.col("text").contains(F.col("head"))).groupBy("item_id").agg(F.countDistinct("doc_id").alias("docs"))
-
-
 @query("""SELECT user_id, count(DISTINCT s) AS sessions, round(avg(n), 4) AS mean_events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) >= 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)) GROUP BY 1, 2) GROUP BY 1""")
 def user_sessions(spark, sf):
     s = _events(spark, sf).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
