@@ -1,20 +1,23 @@
 """N-gram Jaccard join by token groups: similar documents form groups, a query opens only the groups that its tokens can reach.
 
 A document is the set of its word shingles' hashes. Exact copies are one set from the
-start. Of every set the tokens of least hash (its head) are kept: by the prefix
-principle two sets that link share one of the first ``allowed(n)`` of them.
-
-1. Groups. Documents that share head tokens are compared with the one that most of those
-   tokens have first; links make groups. Most copies end up in one group at a linear number of comparisons.
-2. Token-group matrix. Each group's union of head tokens is a column: (token, group). A token of one
-   group only needs no more work; one of HOT groups or more moves to the end of the global order, which
-   keeps common passages out of the prefixes.
-3. Queries. A document meets a group through its prefix. The tokens of its head that the group's union lacks are
+start. A token's key is its level of frequency and then its hash, so that tokens of common passages come
+last in the one order of all keys. By the prefix principle two sets that link share one
+of the first ``allowed(n)`` + 1 keys of each.
+
+1. Levels. Tokens of least hash are counted in all documents; around the frequent ones, whole passages are.
+   Maps of fixed size hold the result. They only order the keys: any order gives the same links.
+2. Groups. Documents that share prefix keys are compared with the one that most of those
+   keys have first; links make groups. Most copies end up in one group at a linear number of comparisons.
+3. Token-group matrix. Each group's union of prefix keys is a column: (token, group). A token of one
+   group only needs no more work.
+4. Queries. A document meets a group through its prefix. The keys of its prefix that the group's union lacks are
    differences from every member; a group beyond the allowed number stays closed.
-4. The members of open groups that share a prefix token are compared by their whole sets.
+5. The members of open groups that share a prefix key are compared by the first quarter of their keys, and by
+   their whole sets where those leave it open.
 
-Comparisons are of whole sets, made again from the texts; nothing is capped, and what
-shares no prefix token can't link.
+Links are decided on whole sets, made again from the texts; nothing is capped, and what
+shares no prefix key can't link.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 
 from llm.common import UPPER, components, table, written
 
-WORDS, HOT, CACHE, PARTNERS, SLOTS = 5, 64, 500_000, 64, 1 << 23
+WORDS, CACHE, PARTNERS, SLOTS = 5, 500_000, 64, 1 << 23
+#: Documents that have a token from which each level begins; share of tokens counted first; tokens on either side; slots of a level's map.
+LEVELS, ONE_IN, NEAR, LEVEL_SLOTS = (48, 384, 3072), 8, 64, 1 << 25
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -48,7 +53,8 @@ class Shingles:
 
         self.size, self.known = size, Known()
 
-    def of(self, text: str | None) -> np.ndarray:
+    def along(self, text: str | None) -> np.ndarray:
+        """The hash of every shingle in its place, of 61 bits."""
         words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
         if not words:
             return np.empty(0, np.int64)
@@ -62,7 +68,64 @@ class Shingles:
             g ^= g >> np.uint64(29)
         g *= _ODD[1]
         g ^= g >> np.uint64(32)
-        return np.unique(g.view(np.int64))
+        return (g >> np.uint64(3)).view(np.int64)
+
+    def of(self, text: str | None, maps: np.ndarray | None = None) -> np.ndarray:
+        """The sorted keys of the set: level, then hash."""
+        g = np.unique(self.along(text))
+        return g if maps is None or not len(g) else np.sort(g | (levels_of(g, maps) << 61))
+
+
+def levels_of(tokens: np.ndarray, maps: np.ndarray) -> np.ndarray:
+    """How many of the maps (a row of bits for each level) hold each token."""
+    slot = tokens % LEVEL_SLOTS
+    return ((maps[:, slot // 8] >> (slot % 8).astype(np.uint8)) & 1).sum(0).astype(np.int64)
+
+
+def _maps(counts: DataFrame, least: tuple[int, ...]) -> np.ndarray:
+    """Bit maps of the slots whose documents (``token, n``) reach each of ``least``; LEVEL_SLOTS bits a level, however large the corpus."""
+    level = sum(((F.col("n") >= k).cast("int") for k in least), F.lit(0))
+    slots = counts.where(F.col("n") >= least[0]).groupBy(F.pmod("token", F.lit(LEVEL_SLOTS)).alias("slot")).agg(F.max(level).alias("level"))
+    bit = F.expr("shiftleft(1L, cast(slot % 64 AS int))")
+    words = slots.groupBy(F.expr("slot div 64 AS at")).agg(*(F.bit_or(F.when(F.col("level") > k, bit).otherwise(F.lit(0).cast("long"))).alias(f"level_{k}") for k in range(len(least))))
+    found = words.toPandas()  # LEVEL_SLOTS / 64 rows at most
+    maps = np.zeros((len(least), LEVEL_SLOTS // 64), "<i8")
+    for k in range(len(least)):
+        maps[k, found["at"]] = found[f"level_{k}"]
+    return maps.view(np.uint8)
+
+
+def _levels(docs: DataFrame, size: int, least: tuple[int, ...]) -> np.ndarray:
+    """The levels' maps: of one in ONE_IN tokens over all documents first, then of every token near one that is frequent."""
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(size)
+        for batch in batches:
+            parts = [np.unique(g[g % ONE_IN == 0]) for g in map(shingles.along, batch["text"])]
+            token, n = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_counts=True)
+            yield pd.DataFrame({"token": token, "n": n})
+
+    count = lambda run: docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    maps = _maps(count(first), least)
+    if not maps.any():
+        return maps
+    shared = docs.sparkSession.sparkContext.broadcast(maps)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingles = Shingles(size)
+        for batch in batches:
+            parts = [np.empty(0, np.int64)]
+            for g in map(shingles.along, batch["text"]):
+                marked = np.zeros(len(g) + 1, np.int64)
+                at = np.flatnonzero(g % ONE_IN == 0)
+                at = at[levels_of(g[at], shared.value) > 0] if len(at) else at
+                np.add.at(marked, np.maximum(at - NEAR, 0), 1)
+                np.add.at(marked, np.minimum(at + NEAR + 1, len(g)), -1)
+                parts.append(np.unique(g[np.cumsum(marked)[:-1] > 0]))
+            token, n = np.unique(np.concatenate(parts), return_counts=True)
+            yield pd.DataFrame({"token": token, "n": n})
+
+    return _maps(count(near), least)
 
 
 def allowed(n):
@@ -70,8 +133,8 @@ def allowed(n):
     return n - (4 * n + 4) // 5
 
 
-def _sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n, d1, d2, head``: set size, digest and the 64-bit tokens of least hash."""
+def _sketches(docs: DataFrame, size: int, maps) -> DataFrame:
+    """``doc_id, n, d1, d2, head``: set size, digest and the first quarter of the keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -80,7 +143,7 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             rows = []
             for text in batch["text"]:
-                s = shingles.of(text)
+                s = shingles.of(text, maps.value)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 rows.append((len(s), *np.frombuffer(d, "<i8").tolist(), s[: len(s) // 4 + 4].tobytes()))
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "d1", "d2", "head"])], axis=1)
@@ -89,138 +152,148 @@ def _sketches(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _tokens(heads: DataFrame) -> DataFrame:
-    """``token, doc`` for every token of every head."""
+    """``token, doc, inner`` for every key of every prefix; inner: also in the shorter prefix that serves against sets no smaller."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = [np.frombuffer(b, "<i8") for b in batch["head"]]
+            n = batch["n"].to_numpy()
+            k = allowed(n) + 1
+            parts = [np.frombuffer(b, "<i8")[:x] for b, x in zip(batch["head"], k, strict=True)]
             if parts:
-                yield pd.DataFrame({"token": np.concatenate(parts), "doc": np.repeat(batch["doc"].to_numpy(), [len(p) for p in parts])})
+                place = np.concatenate([np.arange(x) for x in k])
+                yield pd.DataFrame({"token": np.concatenate(parts), "doc": np.repeat(batch["doc"].to_numpy(), k), "inner": place <= np.repeat(n - (8 * n + 8) // 9, k)})
 
-    return heads.select("doc", "head").mapInPandas(run, "token long, doc long")
+    return heads.select("doc", "n", "head").mapInPandas(run, "token long, doc long, inner boolean")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b) whose whole sets link.
+def _slots(ids: DataFrame) -> np.ndarray:
+    """A bit map of fixed size of the ids in column ``doc``; it passes over most other documents before a shuffle."""
+    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")
+    bits = ids.select(slot).groupBy(F.expr("slot div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 AS int))) AS bits"))
+    mask = np.zeros(SLOTS // 32, np.uint32)
+    for r in bits.collect():  # SLOTS / 32 rows at most
+        mask[r["w"]] = r["bits"]
+    return mask
+
+
+def sets_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= 80 * (nx + ny - common)
+
 
-    The sets are made again from the texts, of the documents that occur: a bit map of fixed size passes over most
-    others before any shuffle. The partners of one ``a`` are dealt out by PARTNERS, with its set before theirs.
+def heads_may_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
+    """False if up to where both heads are whole one set has more tokens of its own than a link leaves it."""
+    end = min(h[-1] for h, n in ((x, nx), (y, ny)) if len(h) < n) if len(x) < nx or len(y) < ny else max(x[-1], y[-1])
+    x, y = x[: np.searchsorted(x, end, "right")], y[: np.searchsorted(y, end, "right")]
+    common, need = len(np.intersect1d(x, y, assume_unique=True)), (4 * (nx + ny) + 8) // 9
+    return len(x) - common <= nx - need and len(y) - common <= ny - need
+
+
+def _compared(pairs: DataFrame, rows: DataFrame, test, size: int | None = None) -> DataFrame:
+    """The rows of ``pairs`` (a, b) whose tokens pass ``test``.
+
+    rows: ``doc_id, n, tokens``, or ``doc_id, text`` for whole sets of shingles of ``size``. The partners of one ``a`` are
+    dealt out by PARTNERS, with its tokens before theirs.
     """
     pairs = written(pairs.select("a", "b"))
     salted = F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / PARTNERS)).cast("int").alias("salt")
     placed = pairs.join(written(pairs.groupBy("a").count()), "a").select("a", "b", salted)
     placed = placed.select(F.col("b").alias("doc"), "a", "salt", F.lit(1).alias("at")).unionByName(placed.select(F.col("a").alias("doc"), "a", "salt", F.lit(0).alias("at")).distinct())
     placed = written(placed)
-    bits = placed.select(F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")).groupBy(F.expr("slot div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 AS int))) AS bits"))
-    mask = np.zeros(SLOTS // 32, np.uint32)
-    for r in bits.collect():  # SLOTS / 32 rows at most
-        mask[r["w"]] = r["bits"]
-    shared = docs.sparkSession.sparkContext.broadcast(mask)  # SLOTS bits
+    shared = rows.sparkSession.sparkContext.broadcast(_slots(placed))  # SLOTS bits
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingles, mask = Shingles(size), shared.value
+        mask, shingles = shared.value, size and Shingles(size)
         for batch in batches:
             slots = batch["slot"].to_numpy()
             batch = batch[(mask[slots // 32] >> (slots % 32).astype(np.uint32)) & 1 == 1]
-            yield pd.DataFrame({"doc": batch["doc_id"], "tokens": [shingles.of(t).tobytes() for t in batch["text"]]})
+            if size:
+                sets = [shingles.of(t) for t in batch["text"]]
+                yield pd.DataFrame({"doc": batch["doc_id"], "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
+            else:
+                yield batch.drop(columns="slot").rename(columns={"doc_id": "doc"})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, first = None, []
         for batch in batches:
             keep = []
-            for a, salt, at, b, tokens in batch[["a", "salt", "at", "doc", "tokens"]].itertuples(index=False):
+            for a, salt, at, b, n, tokens in batch[["a", "salt", "at", "doc", "n", "tokens"]].itertuples(index=False):
                 tokens = np.frombuffer(tokens, "<i8")
                 if (a, salt) != key:
                     key, first = (a, salt), []
                 if at == 0:
-                    first.append(tokens)  # more than one if the id is repeated
-                for x in first if at else ():
-                    common = len(np.intersect1d(x, tokens, assume_unique=True))
-                    if 100 * common >= 80 * (len(x) + len(tokens) - common):
-                        keep.append((a, b))
-                        break
+                    first.append((tokens, n))  # more than one if the id is repeated
+                elif any(test(x, m, tokens, n) for x, m in first):
+                    keep.append((a, b))
             yield pd.DataFrame(keep, columns=["a", "b"]).astype("int64")
 
-    known = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
-    sets = known.mapInPandas(make, "doc long, tokens binary")
-    both = sets.join(placed, "doc").repartition("a", "salt").sortWithinPartitions("a", "salt", "at")
+    known = rows.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
+    both = known.mapInPandas(make, "doc long, n long, tokens binary").where("n > 0").join(placed, "doc")
+    both = both.repartition("a", "salt").sortWithinPartitions("a", "salt", "at")
     return written(both.mapInPandas(compare, "a long, b long").distinct())
 
 
-def _prefixes(spread: DataFrame, heads: DataFrame) -> DataFrame:
-    """``token, doc, n, need, last, hashed, prefix``: for every spread token of a head, whether it lies in the prefix.
-
-    hashed: the document's prefix is by hash alone, because its head has too few tokens that aren't hot;
-    prefix: in the prefix of that order; plain: among the first tokens by hash. need: how many
-    tokens of the head a group must have in its union; last: the head's largest.
-    """
-    marked = spread.groupBy("doc").agg(F.collect_list(F.struct("token", "hot")).alias("marks")).join(heads, "doc")
-    marked = marked.select("doc", "n", "head", F.col("marks.token").alias("tokens"), F.col("marks.hot").alias("hots"))
+def _ends(sets: DataFrame) -> DataFrame:
+    """``doc, n, last, step, steps``: the last key of the prefix, and every ``step``-th of its keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for doc, n, head, tokens, hots in batch.itertuples(index=False):
-                head = np.frombuffer(head, "<i8")
-                tokens, hots = np.asarray(tokens, np.int64), np.asarray(hots, bool)
-                prefix = allowed(n) + 1
-                cool = np.setdiff1d(head, tokens[hots], assume_unique=True)
-                hashed = len(cool) < prefix
-                plain = tokens <= head[prefix - 1]
-                inside = plain if hashed else ~hots & (tokens <= cool[prefix - 1])
-                out.append(pd.DataFrame({"token": tokens, "doc": doc, "n": n, "need": len(cool) - allowed(n), "last": head[-1], "hot": hots, "hashed": hashed, "prefix": inside, "plain": plain}))
-            if out:
-                yield pd.concat(out)
-
-    return marked.mapInPandas(run, "token long, doc long, n long, need long, last long, hot boolean, hashed boolean, prefix boolean, plain boolean")
-
-
-def shingle_classes(documents: DataFrame, size: int = WORDS, hot: int = HOT) -> DataFrame:
+            rows = []
+            for doc, n, head in batch[["doc_id", "n", "head"]].itertuples(index=False):
+                prefix = np.frombuffer(head, "<i8")[: allowed(n) + 1]
+                step = len(prefix) // 32 + 1
+                rows.append((doc, n, prefix[-1], step, prefix[::step].tolist()))
+            yield pd.DataFrame(rows, columns=["doc", "n", "last", "step", "steps"])
+
+    return sets.select("doc_id", "n", "head").mapInPandas(run, "doc long, n long, last long, step int, steps array<long>")
+
+
+def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of documents.
 
     Texts that are null or have no words have the empty set, which links with nothing; their class is their own id. Rows with a null id
     get a null class. Rows that repeat an id are one node. Columns other than ``doc_id`` and ``text`` aren't read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = written(_sketches(docs, size))
+    spark = documents.sparkSession
+    sketches = written(_sketches(docs, size, spark.sparkContext.broadcast(_levels(docs, size, levels))))
     sets = sketches.where("n > 0 and doc_id is not null")
-    heads = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("head").alias("head"))
+    heads = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("head").alias("head"))
     dealt = _tokens(heads).repartition("token")
     shared = dealt.groupBy("token").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first")).where("n_docs > 1").drop("n_docs")
     posts = written(dealt.join(shared, "token"))  # tokens of one document only are gone
 
-    # 1. groups
+    # groups
+    sizes = sets.select(F.col("doc_id").alias("doc"), "n")
     best = posts.where("doc <> first").groupBy("doc", "first").count().groupBy("doc").agg(F.max(F.struct("count", (-F.col("first")).alias("first"))).alias("m"))
-    linked = _linked(best.select((-F.col("m.first")).alias("a"), F.col("doc").alias("b")), docs, size)
-    links = linked.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = components(links)
+    close = sizes.join(best, "doc").where("2 * m.count >= n div 5")  # most of the prefix
+    linked = _compared(close.select((-F.col("m.first")).alias("a"), F.col("doc").alias("b")), docs, sets_link, size)
+    groups = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     member = posts.drop("first").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("grp", F.coalesce("component", "doc")).drop("component")
 
-    # 2. the matrix, of tokens that more than one group has
-    matrix = member.select("token", "grp").distinct()
-    spread = matrix.groupBy("token").agg(F.count("*").alias("n_groups")).where("n_groups > 1").select("token", (F.col("n_groups") >= hot).alias("hot"))
-    spread = written(member.join(written(spread), "token"))
-    heads = sets.select(F.col("doc_id").alias("doc"), "n", "head")
-    rows = written(_prefixes(spread.select("token", "doc", "hot"), heads).join(spread.select("token", "doc", "grp"), ["token", "doc"]))
-
-    # 3. queries against groups through the tokens of their prefixes
-    cool = rows.where("not hot")
-    reach = cool.groupBy("grp").agg(F.min("last").alias("grp_last"))
-    union = cool.select("token", "grp").distinct()
-    met = cool.where("not hashed").select("token", "doc", "need", "last", F.col("grp").alias("own")).join(union, "token").where("grp <> own")
-    met = met.groupBy("doc", "grp", "need", "last").count().join(reach, "grp")
-    opened = met.where("count >= need or grp_last < last").select(F.col("doc").alias("a"), F.col("grp").alias("open"))
-
-    # 4. members
-    sizes = "5 * least(n, m) >= 4 * greatest(n, m)"
-    query = rows.where("prefix and not hashed").select("token", F.col("doc").alias("a"), "n", "grp")
-    other = rows.where("prefix and not hashed").select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("grp").alias("open"))
-    pairs = query.join(other, "token").where(f"grp <> open and {sizes}").join(opened, ["a", "open"], "left_semi").select("a", "b")
-    plain = rows.where("hashed and plain").select("token", F.col("doc").alias("a"), "n", "grp")
-    other = rows.where("plain").select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("grp").alias("open"))
-    pairs = pairs.unionByName(plain.join(other, "token").where(f"grp <> open and {sizes}").select("a", "b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _linked(pairs, docs, size)
+    # the matrix, of tokens that more than one group has
+    spread = written(member.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("n_groups")).where("n_groups > 1").select("token"))
+    member = written(member.join(spread, "token"))
+    ends = written(_ends(sets.join(written(member.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")))
+    rows = written(member.join(ends.select("doc", "n"), "doc"))
+    union = member.select("token", "grp").distinct()
+    reach = written(member.select("doc", "grp").distinct().join(ends, "doc").groupBy("grp").agg(F.min("last").alias("reach"), F.min("n").alias("least")))
+
+    # queries against groups: those that lack more of the query's prefix than a link allows stay closed
+    union = written(union.join(reach, "grp").where("token <= reach"))
+    met = rows.select("token", F.col("doc").alias("a"), F.col("grp").alias("own")).join(union.withColumnRenamed("grp", "open"), "token").where("own <> open")
+    met = met.groupBy("a", "open").agg(F.count("*").alias("common"), F.first("reach").alias("reach"), F.first("least").alias("least"))
+    # keys of the query's prefix up to there: (steps passed - 1) * step + 1 at least
+    within = (F.size(F.filter("steps", lambda t: t <= F.col("reach"))) - 1) * F.col("step") + 1
+    closed = met.join(ends.withColumnRenamed("doc", "a"), "a").where(within - F.col("common") > F.expr("n - (4 * (n + greatest(least, (4 * n + 4) div 5)) + 8) div 9")).select("a", "open")
+
+    # members of open groups that share a prefix key; the smaller set needs it in its shorter prefix
+    query = rows.select("token", F.col("doc").alias("a"), "n", "grp", "inner")
+    other = rows.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("grp").alias("open"), F.col("inner").alias("inner_b"))
+    pairs = query.join(other, "token").where("grp <> open and 5 * least(n, m) >= 4 * greatest(n, m) and ((n < m and inner) or (n = m and a < b and inner and inner_b))")
+    pairs = pairs.select("a", "b", "open").distinct().join(closed, ["a", "open"], "left_anti").select("a", "b")
+    may = _compared(pairs, sets.select("doc_id", "n", F.col("head").alias("tokens")), heads_may_link)
+    more = _compared(may, docs, sets_link, size)
     links = groups.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     classes = components(links.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 
@@ -234,7 +307,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_classes(table(spark, sf_dir, "documents"))
 
 
-_SETS = """
-w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0B\\f\\r]+'), x -> x <> '') AS w FROM {documents}),
-s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), i -> array_to_string(w[i : i + 4], ' '))) END AS s FROM w)
+ORACLE_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM t a JOIN t b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c WHERE 100 * k >= 80 * (n + m - k)),
+r AS (SELECT doc_id AS node, doc_id AS root FROM s UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.root) AS component_id FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.s
 """

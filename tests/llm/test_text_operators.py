@@ -195,8 +195,8 @@ def classes(texts):
     return sets, {i: find(i) for i in root}
 
 
-@pytest.mark.parametrize("hot", [64, 2])
-def test_jaccard_classes(spark, hot):
+@pytest.mark.parametrize("levels", [jaccard.LEVELS, (2, 3, 4)])
+def test_jaccard_classes(spark, levels):
     rng = np.random.default_rng(3)
     texts = sample(spark, 120) + EDGES
     passage = [f"p{k}" for k in range(60)]
@@ -208,7 +208,7 @@ def test_jaccard_classes(spark, hot):
             words[int(rng.integers(len(words)))] = f"c{g}_{c}"
         texts.append((2100 + g, " ".join(passage + [f"q{g}_{k}" for k in range(int(rng.integers(3, 60)))])))
     sets, expect = classes(texts)
-    got = jaccard.shingle_classes(documents(spark, texts), hot=hot).collect()
+    got = jaccard.shingle_classes(documents(spark, texts), levels=levels).collect()
     assert len(got) == len(texts)
     for r in got:
         assert r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
