@@ -260,8 +260,9 @@ def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int,
     sets = sketches.where("n > 0 and doc_id is not null")
     heads = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("head").alias("head"))
     dealt = _tokens(heads).repartition("token")
-    shared = dealt.groupBy("token").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first")).where("n_docs > 1").drop("n_docs")
-    posts = written(dealt.join(shared, "token"))  # tokens of one document only are gone
+    # `served` makes both sides read the same columns, so that one exchange serves the counts and the join
+    shared = dealt.groupBy("token").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"), F.max("inner").alias("served")).where("n_docs > 1").drop("n_docs")
+    posts = written(dealt.join(shared, "token")).drop("served")  # tokens of one document only are gone
 
     # groups
     sizes = sets.select(F.col("doc_id").alias("doc"), "n")
