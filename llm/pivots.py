@@ -1,7 +1,8 @@
 """Near-duplicate embeddings through a pivot-permutation index.
 
-Every vector is described by its NEAREST nearest reference points in order. An inverted list
-for each (label, pivot) holds the vectors that have the pivot among them; two vectors that
+Every vector is described by its nearest reference points in order: NEAREST of the fewest pivots,
+and MORE_NEAREST more for each doubling of their number, since neighbours share fewer of many pivots.
+An inverted list for each (label, pivot) holds the vectors that have the pivot among them; two vectors that
 share at least SHARED pivots are candidates, and a candidate pair is verified in double
 precision in the list of the least pivot it shares.
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from llm.common import components, table, written
 
-LINK, NEAREST, SHARED, BLOCK = 0.93, 6, 2, 256
+LINK, NEAREST, MORE_NEAREST, SHARED, BLOCK = 0.93, 6, 3, 1, 256
 #: Pivots: one for PER_PIVOT vectors, within these bounds; the sample that they come from is as large.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 800, 64, 4096
 
@@ -118,7 +119,7 @@ def near_duplicates(embeddings: DataFrame, link: float = LINK, nearest: int = NE
 
     Vectors link when their labels and dimensions are equal, the label isn't null and their cosine is ``link`` or more. Null or empty vectors, zero
     vectors and ones with null or non-finite components link with nothing. Rows that repeat an id are one vector (the greatest);
-    a null id has no links and isn't kept.
+    a null id has no links and isn't kept. ``nearest`` holds for LEAST_PIVOTS pivots.
     """
     spark = embeddings.sparkSession
     vector = F.col("embedding").cast("array<double>")
@@ -128,6 +129,7 @@ def near_duplicates(embeddings: DataFrame, link: float = LINK, nearest: int = NE
     valid = valid.groupBy("vec_id").agg(F.max(F.struct("vector", "label")).alias("v")).select("vec_id", "v.*", F.size("v.vector").alias("dim"))
     near = math.sqrt((1 + link) / 2) + 1e-9
     n_pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, rows.count() // PER_PIVOT))
+    nearest += math.ceil(MORE_NEAREST * math.log2(n_pivots / LEAST_PIVOTS))
     described = written(_described(valid, _pivots(valid, n_pivots, near), nearest, near))
 
     # links within a ball: all pairs of its members

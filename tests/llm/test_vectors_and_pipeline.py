@@ -51,6 +51,22 @@ def test_near_duplicates(spark, seed):
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_recall_with_many_pivots(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "PER_PIVOT", 4)  # about as many pivots as 0.8 million vectors have
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hub, alike, planted = unit(rng.normal(size=64)), 0.85, (0.935 - 0.85) / 0.15
+    noise = unit(rng.normal(size=(700, 64)))
+    near = planted * noise + np.sqrt(1 - planted**2) * unit(rng.normal(size=(700, 64)))
+    hot = np.sqrt(alike) * hub + np.sqrt(1 - alike) * np.concatenate([noise, near])
+    vectors = np.concatenate([hot, rng.normal(size=(2800, 64))])
+    rows = [(k, v.tolist(), int(k >= len(hot))) for k, v in enumerate(vectors)]
+    ok = unit(hot)
+    truth = int((ok @ ok.T >= 0.93).sum()) - len(ok)
+    got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).agg({"n_links": "sum"}).first()[0]
+    assert truth > 700 and 0.95 * truth <= got <= truth
+
+
 def test_whole_table_recall(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     links, root = brute(rows)
