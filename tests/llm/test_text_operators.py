@@ -245,6 +245,20 @@ def test_backoff_scores(spark):
     assert language_model.backoff_scores(documents(spark, [])).count() == 0
 
 
+def test_words_of_one_short_hash_stay_apart(spark):
+    import xxhash
+
+    seen = {}
+    for k in range(1_000_000):
+        a, b = seen.setdefault(xxhash.xxh32_intdigest(f"w{k}"), f"w{k}"), f"w{k}"
+        if a != b:
+            break
+    assert a != b
+    got = {r["doc_id"]: r["score"] for r in language_model.backoff_scores(documents(spark, [(1, a), (2, b), (3, b), (4, f"x {a}"), (5, f"x {b}")])).collect()}
+    expect = {1: math.log(2 / 7), 2: math.log(3 / 7), 3: math.log(3 / 7), 4: math.log(2 / 7) + math.log(0.4 * 2 / 7), 5: math.log(2 / 7) + math.log(0.4 * 3 / 7)}
+    assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in expect.items())
+
+
 def test_segments_are_maximal():
     rng = np.random.default_rng(5)
     for _ in range(50):
