@@ -11,4 +11,4 @@ QUERIES = {
         jaccard.op7_ngram_jaccard_join, language_model.op8_lm_scoring, html_extract.op9_html_extraction, decontamination.op10_benchmark_decontamination,
     )
 }
-ORACLE_SQL = {"op1_embedding_near_dedup": pivots.ORACLE_OP1, "op7_ngram_jaccard_join": jaccard.ORACLE_OP7, "op10_benchmark_decontamination": decontamination.ORACLE_OP10}
+ORACLE_SQL = {"op1_embedding_near_dedup": pivots.ORACLE_OP1, "op7_ngram_jaccard_join": jaccard.ORACLE_OP7, "op8_lm_scoring": language_model.ORACLE_OP8, "op10_benchmark_decontamination": decontamination.ORACLE_OP10}

@@ -224,25 +224,52 @@ def test_components_of_long_paths(spark):
 
 # -- scores --------------------------------------------------------------------------------------------------------
 
-def test_backoff_scores(spark):
-    texts = sample(spark) + EDGES
-    words = [(i, (t or "").translate(LOWER).encode().split()) for i, t in texts if i is not None]
-    one, two = Counter(), Counter()
-    for _, w in words:
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
-    total, expect = sum(one.values()), defaultdict(float)
-    for i, w in words:
-        if w:
-            expect[i] += math.log(one[w[0]] / total)
-        for a, b in zip(w, w[1:], strict=False):
-            expect[i] += math.log(two[a, b] / one[a]) if two[a, b] >= 2 else math.log(0.4 * one[b] / total)
-    got = {r["doc_id"]: r for r in language_model.backoff_scores(documents(spark, texts)).collect()}
-    assert set(got) == {i for i, _ in words}
+def backoff(texts, corpus, order, least, alpha=0.4):
+    split = lambda t: (t or "").translate(LOWER).encode().split()
+    counts, total, expect, n_words = Counter(), 0, defaultdict(float), Counter()
+    for _, t in corpus:
+        w = split(t)
+        total += len(w)
+        for n in range(1, order + 1):
+            counts.update(tuple(w[k : k + n]) for k in range(len(w) - n + 1))
+    for i, t in texts:
+        w = split(t)
+        n_words[i] += len(w)
+        expect[i] += 0.0
+        for p in range(len(w)):
+            for n in range(min(order, p + 1), 0, -1):
+                g = tuple(w[p - n + 1 : p + 1])
+                if n == 1:
+                    expect[i] += math.log(max(1, counts[g]) / max(1, total))
+                elif counts[g] >= least:
+                    expect[i] += math.log(counts[g] / counts[g[:-1]])
+                    break
+                else:
+                    expect[i] += math.log(alpha)
+    return expect, n_words
+
+
+@pytest.mark.parametrize("order,least,hot", [(1, 1, 1 << 16), (2, 1, 1 << 16), (2, 1, 8), (3, 1, 1 << 16), (3, 1, 0), (2, 2, 8), (3, 3, 8)])
+def test_backoff_scores(spark, monkeypatch, order, least, hot):
+    monkeypatch.setattr(language_model, "HOT", hot)
+    monkeypatch.setattr(language_model, "SAMPLE_ONE_IN", 3)
+    texts = sample(spark, 60) + EDGES
+    expect, n_words = backoff(texts, texts, order, least)
+    got = {r["doc_id"]: r for r in language_model.backoff_scores(documents(spark, texts), order=order, least=least).collect()}
+    assert set(got) == set(expect)
     for i, r in got.items():
-        assert math.isclose(r["score"], expect[i], rel_tol=1e-9, abs_tol=1e-9)
-        assert r["n_words"] == sum(len(w) for j, w in words if j == i)
-    assert language_model.backoff_scores(documents(spark, [])).count() == 0
+        assert math.isclose(r["score"], expect[i], rel_tol=1e-9, abs_tol=1e-6), i
+        assert r["n_words"] == n_words[i]
+    assert language_model.backoff_scores(documents(spark, []), order=order, least=least).count() == 0
+
+
+def test_other_texts_back_off(spark):
+    texts = sample(spark, 60) + EDGES
+    corpus, asked = texts[:40], texts[40:] + texts[:3]
+    expect, n_words = backoff(asked, corpus, 3, 1)
+    got = {r["doc_id"]: r for r in language_model.backoff_scores(documents(spark, asked), documents(spark, corpus)).collect()}
+    assert set(got) == set(expect)
+    assert all(math.isclose(r["score"], expect[i], rel_tol=1e-9, abs_tol=1e-6) and r["n_words"] == n_words[i] for i, r in got.items())
 
 
 def test_words_of_one_short_hash_stay_apart(spark):
@@ -254,8 +281,8 @@ def test_words_of_one_short_hash_stay_apart(spark):
         if a != b:
             break
     assert a != b
-    got = {r["doc_id"]: r["score"] for r in language_model.backoff_scores(documents(spark, [(1, a), (2, b), (3, b), (4, f"x {a}"), (5, f"x {b}")])).collect()}
-    expect = {1: math.log(2 / 7), 2: math.log(3 / 7), 3: math.log(3 / 7), 4: math.log(2 / 7) + math.log(0.4 * 2 / 7), 5: math.log(2 / 7) + math.log(0.4 * 3 / 7)}
+    got = {r["doc_id"]: r["score"] for r in language_model.backoff_scores(documents(spark, [(1, a), (2, b), (3, b), (4, f"x {a}"), (5, f"x {b}")]), order=2).collect()}
+    expect = {1: math.log(2 / 7), 2: math.log(3 / 7), 3: math.log(3 / 7), 4: math.log(2 / 7) + math.log(1 / 2), 5: math.log(2 / 7) + math.log(1 / 2)}
     assert all(math.isclose(got[i], x, rel_tol=1e-9) for i, x in expect.items())
 
 
