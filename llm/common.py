@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset a local master (tests) gets a folder of its own below the warehouse; on a cluster
+    there is no folder that is known to be shared, so the call fails.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
@@ -31,7 +36,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written``, once all that was derived from them is written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -44,42 +58,46 @@ def ascii_lower(text: Column) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """``doc_id, text, label`` of at most ``bound`` labelled rows that aren't held out.
+    """``doc_id, text, label`` of at most ``bound`` labelled ids that aren't held out, one text for each.
 
-    The rows with the smallest hashes of their id are taken. The labels are at most
-    ``bound`` rows of two numbers (``bound`` is a parameter of the fit), so they are broadcast and no text is shuffled.
+    The ids with the smallest hashes are taken; an id with two labels has the greater, one with several texts the least of them (null last). The
+    picked labels are at most ``bound`` rows of two numbers (``bound`` is a parameter of the fit), so they are broadcast and
+    only the picked texts are shuffled. Rows with a null id or another label than 0 or 1 aren't picked.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id")))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    return documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
-def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``links`` (src, dst: long).
 
-    Alternating large-star and small-star rounds; each is two aggregations with
+    Alternating large-star and small-star rounds until nothing changes; each is two aggregations with
     partial sums and a join that Spark may split where a node has many links.
-    The links are written to the shared folder after every round.
+    The links are written to the shared folder after every round, and the round before is deleted; rounds grow
+    with the logarithm of the longest path. Repeated links, links both ways and links of a node with itself are one or none.
     """
     edges = written(links.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
-    if edges.isEmpty():
-        return links.sparkSession.createDataFrame([], "node long, component long")
     before = None
-    for _ in range(max_rounds):
+    while True:
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if state == before or state[0] == 0:
+            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
+            out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct())
+            discard(edges)
+            return out
+        before = state
         # large star: greater neighbours of u to the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: u and its smaller neighbours to the least of them
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.withColumnRenamed("m", "v"))
-        edges = written(small.where("u <> v").distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component"))
-            return written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct())
-        before = state
-    raise RuntimeError(f"links didn't settle in {max_rounds} rounds")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v"))
+        after = written(small.where("u <> v").distinct())
+        discard(edges, low, large, least)
+        edges = after

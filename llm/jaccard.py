@@ -7,12 +7,13 @@ of the first ``allowed(n)`` + 1 keys of each.
 
 1. Levels. Tokens of least hash are counted in all documents; around the frequent ones, whole passages are.
    Maps of fixed size hold the result. They only order the keys: any order gives the same links.
-2. Groups. Documents that share prefix keys are compared with the one that most of those
-   keys have first; links make groups. Most copies end up in one group at a linear number of comparisons.
+2. Groups. The leader of a prefix key is the document of the most shared keys that has it: of near copies, the one with
+   the fewest changes. Documents are compared with the leader that most of their keys name; links make groups.
+   Most copies end up in one group at a linear number of comparisons.
 3. Token-group matrix. Each group's union of prefix keys is a column: (token, group). A token of one
    group only needs no more work.
-4. Queries. A document meets a group through its prefix. The keys of its prefix that the group's union lacks are
-   differences from every member; a group beyond the allowed number stays closed.
+4. Queries. A document meets the groups of more documents than its own through its prefix, where sizes allow a link. The keys
+   of its prefix that the group's union lacks are differences from every member; a group beyond the allowed number stays closed.
 5. The members of open groups that share a prefix key are compared by the first quarter of their keys, and by
    their whole sets where those leave it open.
 
@@ -22,18 +23,21 @@ shares no prefix key can't link.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import UPPER, components, table, written
+from llm.common import UPPER, components, discard, table, written
 
-WORDS, CACHE, PARTNERS, SLOTS = 5, 500_000, 64, 1 << 23
+WORDS, CACHE, TOGETHER, PARTNERS, SLOTS = 5, 200_000, 1 << 16, 64, 1 << 23
 #: Documents that have a token from which each level begins; share of tokens counted first; tokens on either side; slots of a level's map.
-LEVELS, ONE_IN, NEAR, LEVEL_SLOTS = (48, 384, 3072), 8, 64, 1 << 25
+LEVELS, ONE_IN, NEAR, LEVEL_SLOTS = (48, 384, 3072), 8, 24, 1 << 25
+#: One shared key in so many names leaders; marks on a prefix.
+LEADING, MARKS = 2, 16
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -53,27 +57,43 @@ class Shingles:
 
         self.size, self.known = size, Known()
 
-    def along(self, text: str | None) -> np.ndarray:
-        """The hash of every shingle in its place, of 61 bits."""
-        words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-        if not words:
-            return np.empty(0, np.int64)
-        if len(self.known) > CACHE:
-            self.known.clear()
-        h = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
-        n = min(self.size, len(h))
-        g = np.full(len(h) - n + 1, n, np.uint64)  # a shorter text is one sequence, told apart by its length
-        for k in range(n):
-            g = (g ^ h[k : len(h) - n + 1 + k]) * _ODD[k % len(_ODD)]
+    def _mixed(self, h: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of 61 bits of every n words in a row."""
+        k = max(0, len(h) - n + 1)
+        g = np.full(k, n, np.uint64)  # a shorter text is one sequence, told apart by its length
+        for i in range(n):
+            g = (g ^ h[i : i + k]) * _ODD[i % len(_ODD)]
             g ^= g >> np.uint64(29)
         g *= _ODD[1]
         g ^= g >> np.uint64(32)
         return (g >> np.uint64(3)).view(np.int64)
 
-    def of(self, text: str | None, maps: np.ndarray | None = None) -> np.ndarray:
-        """The sorted keys of the set: level, then hash."""
-        g = np.unique(self.along(text))
-        return g if maps is None or not len(g) else np.sort(g | (levels_of(g, maps) << 61))
+    def _along(self, held: list[list[bytes]]) -> Iterator[np.ndarray]:
+        if len(self.known) > CACHE:
+            self.known.clear()
+        h = np.fromiter(map(self.known.__getitem__, chain.from_iterable(held)), np.uint64)
+        g, at = self._mixed(h, self.size), 0
+        for words in held:
+            n = len(words)
+            yield g[at : at + n - self.size + 1] if n >= self.size else self._mixed(h[at : at + n], n) if n else np.empty(0, np.int64)
+            at += n
+
+    def along(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """For each text the hash of every shingle in its place; texts are hashed some at a time, of TOGETHER words or one long text."""
+        held, n = [], 0
+        for text in texts:
+            held.append(text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else [])
+            n += len(held[-1])
+            if n >= TOGETHER:
+                yield from self._along(held)
+                held, n = [], 0
+        yield from self._along(held)
+
+    def of(self, texts: Iterable[str | None], maps: np.ndarray | None = None) -> Iterator[np.ndarray]:
+        """The sorted keys of each text's set: level, then hash."""
+        for g in self.along(texts):
+            g = np.unique(g)
+            yield g if maps is None or not len(g) else np.sort(g | (levels_of(g, maps) << 61))
 
 
 def levels_of(tokens: np.ndarray, maps: np.ndarray) -> np.ndarray:
@@ -98,12 +118,15 @@ def _maps(counts: DataFrame, least: tuple[int, ...]) -> np.ndarray:
 def _levels(docs: DataFrame, size: int, least: tuple[int, ...]) -> np.ndarray:
     """The levels' maps: of one in ONE_IN tokens over all documents first, then of every token near one that is frequent."""
 
+    def counted(parts: list[np.ndarray]) -> pd.DataFrame:
+        token, n = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_counts=True)
+        return pd.DataFrame({"token": token, "n": n})
+
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(size)
         for batch in batches:
-            parts = [np.unique(g[g % ONE_IN == 0]) for g in map(shingles.along, batch["text"])]
-            token, n = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_counts=True)
-            yield pd.DataFrame({"token": token, "n": n})
+            parts = [np.unique(g[g % ONE_IN == 0]) for g in shingles.along(batch["text"])]
+            yield counted(parts)
 
     count = lambda run: docs.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     maps = _maps(count(first), least)
@@ -114,16 +137,19 @@ def _levels(docs: DataFrame, size: int, least: tuple[int, ...]) -> np.ndarray:
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingles = Shingles(size)
         for batch in batches:
-            parts = [np.empty(0, np.int64)]
-            for g in map(shingles.along, batch["text"]):
+            parts, held = [], 0
+            for g in shingles.along(batch["text"]):
                 marked = np.zeros(len(g) + 1, np.int64)
                 at = np.flatnonzero(g % ONE_IN == 0)
                 at = at[levels_of(g[at], shared.value) > 0] if len(at) else at
                 np.add.at(marked, np.maximum(at - NEAR, 0), 1)
                 np.add.at(marked, np.minimum(at + NEAR + 1, len(g)), -1)
                 parts.append(np.unique(g[np.cumsum(marked)[:-1] > 0]))
-            token, n = np.unique(np.concatenate(parts), return_counts=True)
-            yield pd.DataFrame({"token": token, "n": n})
+                held += len(parts[-1])
+                if held > 4 * TOGETHER:
+                    yield counted(parts)
+                    parts, held = [], 0
+            yield counted(parts)
 
     return _maps(count(near), least)
 
@@ -133,6 +159,10 @@ def allowed(n):
     return n - (4 * n + 4) // 5
 
 
+#: Tokens of a set of size n that a set of size m linked to it may lack.
+_DIFFERENCES = "{n} - (4 * ({n} + {m}) + 8) div 9"
+
+
 def _sketches(docs: DataFrame, size: int, maps) -> DataFrame:
     """``doc_id, n, d1, d2, head``: set size, digest and the first quarter of the keys."""
 
@@ -142,8 +172,7 @@ def _sketches(docs: DataFrame, size: int, maps) -> DataFrame:
         shingles = Shingles(size)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                s = shingles.of(text, maps.value)
+            for s in shingles.of(batch["text"], maps.value):
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 rows.append((len(s), *np.frombuffer(d, "<i8").tolist(), s[: len(s) // 4 + 4].tobytes()))
             yield pd.concat([batch[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["n", "d1", "d2", "head"])], axis=1)
@@ -151,11 +180,12 @@ def _sketches(docs: DataFrame, size: int, maps) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, n long, d1 long, d2 long, head binary")
 
 
-def _tokens(heads: DataFrame) -> DataFrame:
+def _tokens(heads: DataFrame, wanted) -> DataFrame:
     """``token, doc, inner`` for every key of every prefix; inner: also in the shorter prefix that serves against sets no smaller."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            batch = batch[wanted(batch)]
             n = batch["n"].to_numpy()
             k = allowed(n) + 1
             parts = [np.frombuffer(b, "<i8")[:x] for b, x in zip(batch["head"], k, strict=True)]
@@ -163,19 +193,45 @@ def _tokens(heads: DataFrame) -> DataFrame:
                 place = np.concatenate([np.arange(x) for x in k])
                 yield pd.DataFrame({"token": np.concatenate(parts), "doc": np.repeat(batch["doc"].to_numpy(), k), "inner": place <= np.repeat(n - (8 * n + 8) // 9, k)})
 
-    return heads.select("doc", "n", "head").mapInPandas(run, "token long, doc long, inner boolean")
+    return heads.mapInPandas(run, "token long, doc long, inner boolean")
 
 
-def _slots(ids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size of the ids in column ``doc``; it passes over most other documents before a shuffle."""
-    slot = F.pmod(F.xxhash64("doc"), F.lit(SLOTS)).alias("slot")
-    bits = ids.select(slot).groupBy(F.expr("slot div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 AS int))) AS bits"))
+def _slots(ids: DataFrame, slot: Column) -> np.ndarray:
+    """A bit map of fixed size of the slots of ``ids``; it passes over most other rows before a shuffle."""
+    bits = ids.select(slot.alias("slot")).groupBy(F.expr("slot div 32 AS w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 AS int))) AS bits"))
     mask = np.zeros(SLOTS // 32, np.uint32)
     for r in bits.collect():  # SLOTS / 32 rows at most
         mask[r["w"]] = r["bits"]
     return mask
 
 
+def _slot(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS))
+
+
+def _one_of_each(sets: DataFrame, make) -> DataFrame:
+    """``make`` of one document for each set, that of the least id, as ``doc, n, head``. Only sets that may be repeated are shuffled.
+
+    make: a function of a DataFrame and of a test of its batches, which it applies in the same task.
+    """
+    repeated = written(sets.groupBy("d1", "d2").count().where("count > 1").select("d1"))
+    shared = sets.sparkSession.sparkContext.broadcast(_slots(repeated, _slot("d1")))  # SLOTS bits
+    discard(repeated)
+
+    def again(batch: pd.DataFrame) -> np.ndarray:
+        at = batch["slot"].to_numpy()
+        return (shared.value[at // 32] >> (at % 32).astype(np.uint32)) & 1 == 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[again(batch)].drop(columns="slot")
+
+    marked = sets.select(F.col("doc_id").alias("doc"), "n", "d1", "d2", "head", _slot("d1").alias("slot"))
+    rest = marked.mapInPandas(run, "doc long, n long, d1 long, d2 long, head binary")
+    rest = rest.groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("head").alias("head")).drop("d1", "d2")
+    return make(marked, lambda batch: ~again(batch)).unionByName(make(rest, lambda batch: slice(None)))
+
+
 def sets_link(x: np.ndarray, nx: int, y: np.ndarray, ny: int) -> bool:
     common = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * common >= 80 * (nx + ny - common)
@@ -196,11 +252,12 @@ def _compared(pairs: DataFrame, rows: DataFrame, test, size: int | None = None)
     dealt out by PARTNERS, with its tokens before theirs.
     """
     pairs = written(pairs.select("a", "b"))
+    counts = written(pairs.groupBy("a").count())
     salted = F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / PARTNERS)).cast("int").alias("salt")
-    placed = pairs.join(written(pairs.groupBy("a").count()), "a").select("a", "b", salted)
+    placed = pairs.join(counts, "a").select("a", "b", salted)
     placed = placed.select(F.col("b").alias("doc"), "a", "salt", F.lit(1).alias("at")).unionByName(placed.select(F.col("a").alias("doc"), "a", "salt", F.lit(0).alias("at")).distinct())
     placed = written(placed)
-    shared = rows.sparkSession.sparkContext.broadcast(_slots(placed))  # SLOTS bits
+    shared = rows.sparkSession.sparkContext.broadcast(_slots(placed, _slot("doc")))  # SLOTS bits
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mask, shingles = shared.value, size and Shingles(size)
@@ -208,7 +265,7 @@ def _compared(pairs: DataFrame, rows: DataFrame, test, size: int | None = None)
             slots = batch["slot"].to_numpy()
             batch = batch[(mask[slots // 32] >> (slots % 32).astype(np.uint32)) & 1 == 1]
             if size:
-                sets = [shingles.of(t) for t in batch["text"]]
+                sets = list(shingles.of(batch["text"]))
                 yield pd.DataFrame({"doc": batch["doc_id"], "n": [len(s) for s in sets], "tokens": [s.tobytes() for s in sets]})
             else:
                 yield batch.drop(columns="slot").rename(columns={"doc_id": "doc"})
@@ -227,25 +284,43 @@ def _compared(pairs: DataFrame, rows: DataFrame, test, size: int | None = None)
                     keep.append((a, b))
             yield pd.DataFrame(keep, columns=["a", "b"]).astype("int64")
 
-    known = rows.where("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)))
+    known = rows.where("doc_id is not null").withColumn("slot", _slot("doc_id"))
     both = known.mapInPandas(make, "doc long, n long, tokens binary").where("n > 0").join(placed, "doc")
     both = both.repartition("a", "salt").sortWithinPartitions("a", "salt", "at")
-    return written(both.mapInPandas(compare, "a long, b long").distinct())
+    out = written(both.mapInPandas(compare, "a long, b long").distinct())
+    discard(pairs, counts, placed)
+    return out
 
 
-def _ends(sets: DataFrame) -> DataFrame:
+def _ends(heads: DataFrame, wanted) -> DataFrame:
     """``doc, n, last, step, steps``: the last key of the prefix, and every ``step``-th of its keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, n, head in batch[["doc_id", "n", "head"]].itertuples(index=False):
+            for doc, n, head in batch.loc[wanted(batch), ["doc", "n", "head"]].itertuples(index=False):
                 prefix = np.frombuffer(head, "<i8")[: allowed(n) + 1]
-                step = len(prefix) // 32 + 1
+                step = len(prefix) // MARKS + 1
                 rows.append((doc, n, prefix[-1], step, prefix[::step].tolist()))
             yield pd.DataFrame(rows, columns=["doc", "n", "last", "step", "steps"])
 
-    return sets.select("doc_id", "n", "head").mapInPandas(run, "doc long, n long, last long, step int, steps array<long>")
+    return heads.mapInPandas(run, "doc long, n long, last long, step int, steps array<long>")
+
+
+def _leaders(posts: DataFrame) -> DataFrame:
+    """``doc, leader, n``: the leader that most of a document's keys name, and how many do; some of the shared keys are asked.
+
+    posts: ``token, doc``. What has no leader but itself isn't returned.
+    """
+    asked = posts.where(F.pmod(F.xxhash64("token"), F.lit(LEADING)) == 0).select("token", "doc")
+    central = written(asked.groupBy("doc").agg(F.count("*").alias("n_keys")))
+    leader = F.max(F.struct("n_keys", (-F.col("doc")).alias("less")))
+    named = written(asked.join(central, "doc").groupBy("token").agg((-leader["less"]).alias("leader")))
+    votes = asked.join(named, "token").groupBy("doc", "leader").agg(F.count("*").alias("n"))
+    best = votes.groupBy("doc").agg(F.max(F.struct("n", (-F.col("leader")).alias("less"))).alias("m"))
+    out = written(best.select("doc", (-F.col("m.less")).alias("leader"), F.col("m.n").alias("n_votes")).where("doc <> leader"))
+    discard(central, named)
+    return out
 
 
 def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int, ...] = LEVELS) -> DataFrame:
@@ -258,41 +333,47 @@ def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int,
     spark = documents.sparkSession
     sketches = written(_sketches(docs, size, spark.sparkContext.broadcast(_levels(docs, size, levels))))
     sets = sketches.where("n > 0 and doc_id is not null")
-    heads = sets.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("head").alias("head"))
-    dealt = _tokens(heads).repartition("token")
-    # `served` makes both sides read the same columns, so that one exchange serves the counts and the join
-    shared = dealt.groupBy("token").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"), F.max("inner").alias("served")).where("n_docs > 1").drop("n_docs")
-    posts = written(dealt.join(shared, "token")).drop("served")  # tokens of one document only are gone
+    dealt = _one_of_each(sets, _tokens).repartition("token")
+    # asking for `first` and `served` (never null) makes both sides read the same columns, so that one exchange serves the counts and the join
+    shared = dealt.groupBy("token").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"), F.max("inner").alias("served"))
+    shared = shared.where("n_docs > 1 and first is not null and served is not null").select("token")
+    posts = written(dealt.join(shared, "token"))  # tokens of one document only are gone
+    ends = written(_one_of_each(sets, _ends))
 
     # groups
-    sizes = sets.select(F.col("doc_id").alias("doc"), "n")
-    best = posts.where("doc <> first").groupBy("doc", "first").count().groupBy("doc").agg(F.max(F.struct("count", (-F.col("first")).alias("first"))).alias("m"))
-    close = sizes.join(best, "doc").where("2 * m.count >= n div 5")  # most of the prefix
-    linked = _compared(close.select((-F.col("m.first")).alias("a"), F.col("doc").alias("b")), docs, sets_link, size)
+    close = _leaders(posts).join(ends.select("doc", "n"), "doc").where(f"{2 * LEADING} * n_votes >= n div 5 - n div 9")  # half of what is left of a prefix that has as many keys of its own as a link allows
+    linked = _compared(close.select(F.col("leader").alias("a"), F.col("doc").alias("b")), docs, sets_link, size)
     groups = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    member = posts.drop("first").join(groups.withColumnRenamed("node", "doc"), "doc", "left").withColumn("grp", F.coalesce("component", "doc")).drop("component")
-
-    # the matrix, of tokens that more than one group has
-    spread = written(member.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("n_groups")).where("n_groups > 1").select("token"))
-    member = written(member.join(spread, "token"))
-    ends = written(_ends(sets.join(written(member.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi")))
-    rows = written(member.join(ends.select("doc", "n"), "doc"))
-    union = member.select("token", "grp").distinct()
-    reach = written(member.select("doc", "grp").distinct().join(ends, "doc").groupBy("grp").agg(F.min("last").alias("reach"), F.min("n").alias("least")))
-
-    # queries against groups: those that lack more of the query's prefix than a link allows stay closed
-    union = written(union.join(reach, "grp").where("token <= reach"))
-    met = rows.select("token", F.col("doc").alias("a"), F.col("grp").alias("own")).join(union.withColumnRenamed("grp", "open"), "token").where("own <> open")
-    met = met.groupBy("a", "open").agg(F.count("*").alias("common"), F.first("reach").alias("reach"), F.first("least").alias("least"))
+    # keys of the prefix that no other document has: differences from every set
+    own = F.expr("n - (4 * n + 4) div 5 + 1") - F.col("n_shared")
+    sizes = written(posts.groupBy("doc").agg(F.count("*").alias("n_shared")).join(ends, "doc").select("doc", "n", "last", own.alias("own")))
+    weighed = written(groups.join(groups.groupBy("component").agg(F.count("*").alias("weight")), "component").select(F.col("node").alias("doc"), "component", "weight"))
+    member = posts.join(sizes, "doc").join(weighed, "doc", "left").withColumns({"grp": F.coalesce("component", "doc"), "weight": F.coalesce("weight", F.lit(1))}).drop("component")
+
+    # the matrix, of tokens that more than one group has; a set with more keys of its own than the smallest set there allows has no link by that token
+    member = written(member)
+    spread = member.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("n").alias("least")).where("low <> high").select("token", "least")
+    rows = written(member.join(written(spread), "token").where(f"own <= {_DIFFERENCES.format(n='n', m='greatest(least, (4 * n + 4) div 5)')}").drop("least"))
+    discard(member)
+    reach = written(rows.groupBy("grp").agg(F.min("last").alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("own").alias("least_own"), F.first("weight").alias("heavy")))
+    union = written(rows.select("token", F.col("grp").alias("open")).distinct().join(reach.withColumnRenamed("grp", "open"), "open").where("token <= reach"))
+
+    # queries against groups of more documents that may link: those that lack more of the query's prefix than a link allows stay closed
+    asking = rows.select("token", F.col("doc").alias("a"), F.col("grp").alias("of"), "n", "inner", "own", "weight")
+    differ = _DIFFERENCES.format(n="n", m="greatest(least, (4 * n + 4) div 5)")
+    fit = f"(weight < heavy or (weight = heavy and of < open)) and 4 * n <= 5 * most and 5 * n >= 4 * least and own <= {differ} and least_own <= {_DIFFERENCES.format(n='most', m='n')}"
+    met = asking.join(union, "token").where(fit).groupBy("a", "open").agg(F.count("*").alias("common"), F.first("reach").alias("reach"), F.first("least").alias("least"))
     # keys of the query's prefix up to there: (steps passed - 1) * step + 1 at least
     within = (F.size(F.filter("steps", lambda t: t <= F.col("reach"))) - 1) * F.col("step") + 1
-    closed = met.join(ends.withColumnRenamed("doc", "a"), "a").where(within - F.col("common") > F.expr("n - (4 * (n + greatest(least, (4 * n + 4) div 5)) + 8) div 9")).select("a", "open")
+    met = met.join(ends.withColumnRenamed("doc", "a"), "a").where(within - F.col("common") <= F.expr(differ))
+    opened = written(met.select("a", "open").distinct())
 
     # members of open groups that share a prefix key; the smaller set needs it in its shorter prefix
-    query = rows.select("token", F.col("doc").alias("a"), "n", "grp", "inner")
-    other = rows.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("grp").alias("open"), F.col("inner").alias("inner_b"))
-    pairs = query.join(other, "token").where("grp <> open and 5 * least(n, m) >= 4 * greatest(n, m) and ((n < m and inner) or (n = m and a < b and inner and inner_b))")
-    pairs = pairs.select("a", "b", "open").distinct().join(closed, ["a", "open"], "left_anti").select("a", "b")
+    asks = asking.drop("weight").join(written(opened.select("a").distinct()), "a", "left_semi")
+    other = rows.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("grp").alias("open"), F.col("inner").alias("inner_b"), F.col("own").alias("own_b")).join(written(opened.select("open").distinct()), "open", "left_semi")
+    both = f"of <> open and 5 * least(n, m) >= 4 * greatest(n, m) and (n > m or inner) and (n < m or inner_b) and own <= {_DIFFERENCES.format(n='n', m='m')} and own_b <= {_DIFFERENCES.format(n='m', m='n')}"
+    pairs = asks.join(other, "token").where(both).select("a", "b", "open").distinct()
+    pairs = pairs.join(opened, ["a", "open"], "left_semi").select("a", "b")
     may = _compared(pairs, sets.select("doc_id", "n", F.col("head").alias("tokens")), heads_may_link)
     more = _compared(may, docs, sets_link, size)
     links = groups.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
