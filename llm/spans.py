@@ -15,21 +15,35 @@ SPAN = "array<struct<start:int,kind_at:int,kind:string,end:int,value:string>>"
 def found(text: Column, pattern: str, kind: str, kind_at: int, may: Column | None = None) -> Column:
     """All matches of ``pattern``, leftmost and not overlapping, as an array of SPAN's structs.
 
-    may: a cheap condition that holds wherever there is a match; other texts are passed over.
+    may: a cheap condition that holds wherever there is a match; other texts are passed over. Lists are built in blocks of about
+    the root of the number of matches, since each step copies the list that it adds to.
     """
     none = F.array().cast(SPAN)
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
-    pairs = F.filter(pairs, lambda x: x["value"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    pairs = F.transform(F.filter(pairs, lambda x: x["value"].isNotNull()), lambda x: F.struct(F.length(x["gap"]).alias("gap"), x["value"].alias("value")))
 
     def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
+        begin = acc["at"] + x["gap"]
         end = begin + F.length(x["value"])
         one = F.struct(begin.alias("start"), F.lit(kind_at).alias("kind_at"), F.lit(kind).alias("kind"), end.alias("end"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-    spans = F.aggregate(pairs, start, step, lambda acc: acc["spans"])
-    return F.when(may if may is not None else F.lit(True), spans).otherwise(none)
+    def placed(p: Column) -> Column:
+        n = F.ceil(F.sqrt(F.size(p))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / n).cast("int")), lambda b: F.slice(p, b * n + 1, n))
+        sized = F.transform(blocks, lambda b: F.struct(b.alias("rows"), F.aggregate(b, F.lit(0), lambda s, x: s + x["gap"] + F.length(x["value"])).alias("size")))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        starts = lambda z: F.aggregate(z, first, lambda acc, x: F.struct((acc["at"] + x["size"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+        spans = lambda x, at: F.aggregate(x["rows"], F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+        return let(sized, lambda z: F.flatten(F.zip_with(z, starts(z), spans)))
+
+    matched = let(pairs, lambda p: F.when(F.size(p) > 0, placed(p)).otherwise(none))
+    return F.when(may if may is not None else F.lit(True), matched).otherwise(none)
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def kept(spans: Column, test) -> Column:

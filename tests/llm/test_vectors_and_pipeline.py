@@ -93,3 +93,19 @@ def test_one_copy_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = corpus_pipeline.keep_one_copy(spark, docs, "")
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == [(False, 1), (False, 3), (False, 4)] and kept.count() == 4
+
+
+def test_rows_that_share_an_id(spark):
+    text, other = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(30))
+    rows = [(1, text, "a"), (2, text, "b"), (2, other, "c"), (3, None, "d"), (3, None, "e"), (4, "", "f"), (5, other.upper(), "g"), (5, other, "h"), (6, "some few words", "i"), (6, "some few words", "j"), (None, text, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["source"] for r in corpus_pipeline.keep_one_copy(spark, docs, "").collect()}
+    assert kept in ({"a", "c", "d", "e", "f", "i", "k"}, {"a", "c", "d", "e", "f", "j", "k"})
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_of_empty_tables(spark, tmp_path, name):
+    for t, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert dict(corpus_pipeline.STAGES)[name](spark, docs, str(tmp_path)).count() == 0
