@@ -1,16 +1,19 @@
 """Main text of web pages by a minimum cut.
 
-A page becomes its text blocks in order, each with the elements it stands in. A small linear
-classifier gives each block the cost of calling it boilerplate and of calling it content; these
+A page becomes its text blocks in order and the tree of elements that they stand in. A small linear
+classifier with stated weights gives each block the cost of calling it boilerplate and of calling it content; these
 are its capacities to the two terminals. Blocks next to each other, and the nearest blocks below one parent, are
 joined by smoothness edges whose capacity falls with their distance in the tree. The maximum flow
 separates content from boilerplate at the least total cost.
+
+Names (class, id, role) tell of boilerplate when they are a listed word as a whole; compound names ("site-footer") do so outside articles alone, and
+not if they begin with a word like "with" or "has". Neither counts for an element that holds the page's article, or most of its text where it has none.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,9 +22,15 @@ from pyspark.sql import functions as F
 
 from llm.common import table
 
-SILENT = frozenset("head script style noscript template svg math iframe object select textarea button canvas audio video map datalist".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
+SILENT = frozenset("head title script style noscript template svg iframe object select textarea button canvas audio video map datalist".split())
+#: What may stand in a head; anything else ends it, as its end tag may be left out.
+HEAD = frozenset("head title base link meta script style noscript template".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input "
+    "math mi mo mn ms mrow mfrac msup msub msubsup msqrt mroot mtext mstyle mover munder munderover mspace semantics annotation".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td th dt dd figcaption".split())
 #: Elements and words of class, id or role that tell of boilerplate.
 FRAME = frozenset("nav footer aside form header menu dialog".split())
 WORDS = frozenset(
@@ -31,28 +40,56 @@ WORDS = frozenset(
 )
 #: Costs: of evidence from an ancestor, an article (and of standing outside the page's), a block's kind, links, length, and sentences; and of smoothness.
 ANCESTOR, ARTICLE, OUTSIDE, BODY_TEXT, LINKS, LENGTH, SENTENCE, PRIOR, SMOOTH = 9.0, 4.0, 4.0, 1.0, 3.0, 1.0, 0.5, 0.3, 0.6
+#: A compound name that begins so tells of the page around, not of the element.
+MODIFIERS = frozenset("with without has have no not is in on hide hidden show open closed after before".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Element:
+    """A block-level element: number of its parent (-1: none), tag, whole and compound names that tell of boilerplate, whether in an article."""
+
+    __slots__ = ("parent", "depth", "tag", "names", "compounds", "frame_tag", "article", "in_article", "text", "holds", "frame")
+
+    def __init__(self, parent: int, depth: int, tag: str, names: int, compounds: int, frame_tag: bool, article: bool, in_article: bool):
+        self.parent, self.depth, self.tag, self.names, self.compounds, self.frame_tag, self.article, self.in_article = parent, depth, tag, names, compounds, frame_tag, article, in_article
+        self.text, self.holds, self.frame = 0, article, 0.0
+
+
+def named(attrs: list) -> tuple[int, int]:
+    """How many of an element's names are a listed word, and how many hold one in a compound."""
+    whole = compound = 0
+    for k, v in attrs:
+        if k in ("class", "id", "role") and v:
+            for name in v.split():
+                parts = [x.lower() for x in _PARTS.findall(name)]
+                if name.lower() in WORDS:
+                    whole += 1
+                elif len(parts) > 1 and parts[0] not in MODIFIERS and not WORDS.isdisjoint(parts):
+                    compound += 1
+    return whole, compound
+
+
 class Blocks(HTMLParser):
-    """``blocks``: [text, letters in links, path of element numbers, boilerplate ancestors, in an article, tag]."""
+    """``blocks``: [text, letters in links, number of the block-level element]; ``elements`` in page order. Memory is linear in the page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[list] = []
-        self.stack: list[tuple[str, int, int, bool]] = []  # tag, number, boilerplate so far, in an article
+        self.blocks: list[tuple[str, int, int]] = []
+        self.elements = [Element(-1, 0, "", 0, 0, False, False, False)]
+        self.stack: list[tuple[str, int]] = []  # tag, number of the nearest block-level element
+        self.open: Counter[str] = Counter()
         self.text: list[str] = []
-        self.linked = self.count = self.silent = self.in_link = 0
+        self.linked = self.silent = self.in_link = 0
 
     def close_block(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, _, frame, article = self.stack[-1] if self.stack else ("", 0, 0, False)
-            tag = next((t for t, *_ in reversed(self.stack) if t not in INLINE), "")
-            self.blocks.append([text, self.linked, tuple(x[1] for x in self.stack if x[0] not in INLINE), frame, article, tag])
+            self.blocks.append((text, self.linked, self.stack[-1][1] if self.stack else 0))
         self.text, self.linked = [], 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self.open["head"] and tag not in HEAD:
+            self.handle_endtag("head")
         if tag not in INLINE:
             self.close_block()
         if tag in VOID:
@@ -64,51 +101,83 @@ class Blocks(HTMLParser):
                     break
                 if self.stack[k][0] not in INLINE and self.stack[k][0] not in ("p", "td", "th", "dt", "dd"):
                     break
-        self.count += 1
-        _, _, frame, article = self.stack[-1] if self.stack else ("", 0, 0, False)
-        names = {w.lower() for k, v in attrs if k in ("class", "id", "role") and v for w in _PARTS.findall(v)} & WORDS
-        if article:
-            names -= {"header"}
-        if tag not in ("html", "body", "main", "article"):
-            frame += bool(names) + (tag in FRAME and not (tag == "header" and article))
-        self.stack.append((tag, self.count, frame, article or tag in ("article", "main") or ("role", "main") in attrs))
+        at = self.stack[-1][1] if self.stack else 0
+        if tag not in INLINE:
+            above = self.elements[at]
+            whole, compound = named(attrs) if tag not in ("html", "body", "main", "article") else (0, 0)
+            article = tag in ("article", "main") or ("role", "main") in attrs
+            header = tag == "header" and above.in_article
+            self.elements.append(Element(at, above.depth + 1, tag, whole, compound, tag in FRAME and not header, article, above.in_article or article))
+            at = len(self.elements) - 1
+        self.stack.append((tag, at))
+        self.open[tag] += 1
         self.silent += tag in SILENT
         self.in_link += tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self.close_block()
-        if not any(x[0] == tag for x in self.stack):
+        if not self.open[tag]:
             return
         while self.stack:
             open_tag = self.stack.pop()[0]
+            self.open[open_tag] -= 1
             self.silent -= open_tag in SILENT
             self.in_link -= open_tag == "a"
             if open_tag == tag:
                 break
 
     def handle_data(self, data: str) -> None:
+        if self.open["head"] and self.stack and self.stack[-1][0] == "head" and data.strip():
+            self.handle_endtag("head")
         if not self.silent:
             self.text.append(data)
             self.linked += len(data) * bool(self.in_link)
 
 
-def content_margin(block: list, outside: float = 0.0) -> float:
+def weigh(elements: list[Element], blocks: list[tuple[str, int, int]]) -> None:
+    """Fills in each element's evidence of boilerplate, with that of the elements around it."""
+    for text, _, at in blocks:
+        elements[at].text += len(text)
+    for e in reversed(elements):
+        if e.parent >= 0:
+            elements[e.parent].text += e.text
+            elements[e.parent].holds |= e.holds
+    total, articles = elements[0].text, elements[0].holds
+    for e in elements[1:]:
+        above = elements[e.parent]
+        main = e.holds or (not articles and 2 * e.text > total)
+        e.frame = above.frame + (0.0 if main else float(e.names > 0) + e.frame_tag + (0.0 if e.in_article else 0.5 * (e.compounds > 0)))
+
+
+def content_margin(block: tuple[str, int, int], element: Element, outside: float = 0.0) -> float:
     """Cost of calling the block boilerplate, less that of calling it content."""
-    text, linked, _, frame, article, tag = block
-    kind = BODY_TEXT if tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "td", "th", "dt", "dd", "figcaption") else 0.0
-    return PRIOR - outside * (not article) - ANCESTOR * min(2, frame) + ARTICLE * article + kind - LINKS * min(1.0, linked / len(text)) + LENGTH * (min(3.0, len(text) / 80) - 0.5) * (not frame) + SENTENCE * bool(re.search(r"[.!?…]", text))
+    text, linked, _ = block
+    kind = BODY_TEXT if element.tag in PARAGRAPHS else 0.0
+    article = element.in_article
+    return PRIOR - outside * (not article) - ANCESTOR * min(2.0, element.frame) + ARTICLE * article + kind - LINKS * min(1.0, linked / len(text)) + LENGTH * (min(3.0, len(text) / 80) - 0.5) * (not element.frame) + SENTENCE * bool(re.search(r"[.!?…]", text))
 
 
-def edges(blocks: list[list]) -> list[tuple[int, int, float]]:
+def distance(elements: list[Element], a: int, b: int) -> int:
+    """Steps between two elements of the tree."""
+    steps = 0
+    while a != b:
+        if elements[a].depth >= elements[b].depth:
+            a = elements[a].parent
+        else:
+            b = elements[b].parent
+        steps += 1
+    return steps
+
+
+def edges(blocks: list[tuple[str, int, int]], elements: list[Element]) -> list[tuple[int, int, float]]:
     """Smoothness between neighbours, and between the nearest two blocks below each parent."""
     out: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        parent = b[2][-2] if len(b[2]) > 1 else 0
+        parent = max(0, elements[b[2]].parent)
         for j in {i - 1, last.get(parent, -1)} - {-1}:
-            common = sum(x == y for x, y in zip(b[2], blocks[j][2], strict=False))
-            out[j, i] = SMOOTH / (1 + len(b[2]) + len(blocks[j][2]) - 2 * common)
+            out[j, i] = SMOOTH / (1 + distance(elements, b[2], blocks[j][2]))
         last[parent] = i
     return [(j, i, w) for (j, i), w in out.items()]
 
@@ -174,15 +243,20 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser.close_block()
-    if not parser.blocks:
+    blocks, elements = parser.blocks, parser.elements
+    if not blocks:
         return ""
-    outside = OUTSIDE if any(b[4] for b in parser.blocks) else 0.0
-    content = minimum_cut([content_margin(b, outside) for b in parser.blocks], edges(parser.blocks))
-    return " ".join(b[0] for b, c in zip(parser.blocks, content, strict=True) if c)
+    weigh(elements, blocks)
+    outside = OUTSIDE if any(elements[b[2]].in_article for b in blocks) else 0.0
+    content = minimum_cut([content_margin(b, elements[b[2]], outside) for b in blocks], edges(blocks, elements))
+    return " ".join(b[0] for b, c in zip(blocks, content, strict=True) if c)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """pages with ``text`` (empty if there is none or ``html`` is null). Other columns pass through; one named ``text`` is replaced."""
+    """pages with ``text`` (empty if there is none or ``html`` is null). Other columns pass through; one named ``text`` is replaced.
+
+    Rows are read one by one, so repeated rows give repeated texts. Memory is linear in a page, however deep its elements.
+    """
 
     @F.pandas_udf("string")
     def text_of(html: pd.Series) -> pd.Series:

@@ -143,6 +143,7 @@ def quality(documents: DataFrame, machine: Machine) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row; rows that share an id are scored by their own texts, and one of them is learned from."""
     documents = table(spark, sf_dir, "documents")
     scored = quality(documents.select("doc_id", "text"), fit(documents, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= CUT).cast("int").alias("predicted"))

@@ -196,11 +196,13 @@ def toxicity(documents: DataFrame, model: Model) -> DataFrame:
         return pd.DataFrame({"score": [r[0] for r in rows], "passages": [[{"first": a, "end": b, "score": s} for a, b, s in r[1]] for r in rows]})
 
     kept = [c for c in documents.columns if c not in ("toxic_score", "toxic_passages")]
-    out = documents.select(*kept, scored(F.col("text").cast("string")).alias("_scored"))
-    return out.select(*kept, F.col("_scored.score").alias("toxic_score"), F.col("_scored.passages").alias("toxic_passages"))
+    both = "scored_" + "_".join(kept)  # longer than any column's name
+    out = documents.select(*kept, scored(F.col("text").cast("string")).alias(both))
+    return out.select(*kept, out[both]["score"].alias("toxic_score"), out[both]["passages"].alias("toxic_passages"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row; rows that share an id are scored by their own texts, and one of them is learned from."""
     documents = table(spark, sf_dir, "documents")
     scored = toxicity(documents.select("doc_id", "text"), fit(documents, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= CUT).cast("int").alias("predicted"))

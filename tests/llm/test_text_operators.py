@@ -374,6 +374,54 @@ def test_segments_are_maximal():
         assert all(a1 >= b0 for (_, b0, _), (a1, _, _) in zip(found, found[1:], strict=False))
 
 
+def test_all_maximal_segments():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        places = sorted(rng.choice(n, int(rng.integers(1, n + 1)), replace=False).tolist())
+        weights = rng.normal(0, 1, len(places)).tolist()
+        full = np.full(n, -0.05)
+        full[places] = weights
+        sums = np.concatenate([[0], np.cumsum(full)])
+
+        def maximal(lo, hi):  # the best segment of a stretch, then those of what is left on either side
+            found = max(((sums[b] - sums[a], a, b) for a in range(lo, hi) for b in range(a + 1, hi + 1)), default=(0, 0, 0))
+            return [*maximal(lo, found[1]), found, *maximal(found[2], hi)] if found[0] > 1e-12 else []
+
+        got, expect = toxicity.segments(places, weights, n), maximal(0, n)
+        assert [(a, b) for a, b, _ in got] == [(a, b) for _, a, b in expect]
+        assert np.allclose([s for *_, s in got], [s for s, *_ in expect])
+
+
+def test_squares_equal_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    n = len(quality.STATS) + quality.BUCKETS
+    m = quality.Machine(0.3, rng.normal(size=n), rng.normal(size=(n, quality.RANK)), np.zeros(len(quality.STATS)), np.ones(len(quality.STATS)))
+    at, value = rng.choice(n, 25, replace=False), rng.normal(size=25)
+    pairs = sum(m.factors[at[i]] @ m.factors[at[j]] * value[i] * value[j] for i in range(25) for j in range(i))
+    assert math.isclose(m.margin(at, value), 0.3 + m.linear[at] @ value + pairs, rel_tol=1e-9)
+
+
+@pytest.mark.parametrize("score", [lambda d, y: toxicity.toxicity(d, toxicity.fit(d, y)), lambda d, y: quality.quality(d, quality.fit(d, y, 2))])
+def test_scores_of_repeated_ids_and_clashing_columns(spark, score):
+    rows = [(k % 4, t, "a", "b") for k, (_, t) in enumerate(sample(spark, 60) + EDGES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _scored string, scored_doc_id string")
+    y = spark.createDataFrame([(k, k % 2, k % 2) for k in range(4)] + [(0, 1, 1)], "doc_id long, quality int, toxic int")
+    out = score(docs, y)
+    assert out.count() == len(rows) and out.columns[:4] == docs.columns
+    empty = documents(spark, [])
+    assert score(empty, y).count() == 0
+
+
+@pytest.mark.parametrize("bound", [2, 10])
+def test_labelled_sample_is_bounded(spark, bound):
+    from llm.common import labelled_sample
+
+    docs = documents(spark, [(k % 3, f"t{k}") for k in range(500)])
+    y = spark.createDataFrame([(k, k % 2, 0) for k in range(3)], "doc_id long, quality int, toxic int")
+    assert labelled_sample(docs, y, "quality", bound).count() <= min(bound, 3)
+
+
 def accuracy(spark, query, label):
     sf = "/root/testdata/sf0.1"
     rows = query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").select("predicted", "score", label).toPandas()
@@ -412,6 +460,35 @@ def test_main_text(spark):
     assert got[2] == got[3] == "" and got[4] == "Only text." and got[5] == "deep text here."
 
 
+LONG = "Main story of the day, which is long enough to be a paragraph and has a full stop. It goes on for a while."
+
+
+@pytest.mark.parametrize("page,expect", [
+    (f"<html><head><title>T</title><body><article><p>{LONG}</article>", LONG),
+    (f"<title>T</title><p>{LONG}", LONG),
+    (f"<article><div class='related-work'><p>{LONG}</p></div></article>", LONG),
+    (f"<body class='has-sidebar'><div class='with-sidebar'><article><p>{LONG}</p></article></div><div class='sidebar'><p>{LONG}</p></div></body>", LONG),
+    (f"<div id='page' class='no-sidebar comments-open share widget tags'><p>{LONG}</p><p>{LONG}</p></div><div class='site-footer'><p>Imprint and contact.</p></div>", f"{LONG} {LONG}"),
+    ("<article><p>The sum is <math><mi>a</mi><mo>+</mo><mi>b</mi></math> in all cases.</p></article>", "The sum is a+b in all cases."),
+    (f"<form id='aspnet'><div class='content'><p>{LONG}</p><p>{LONG}</p></div></form><nav><a>Home</a></nav>", f"{LONG} {LONG}"),
+    (f"<article><p>{LONG}</p></article><section id='comments'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section>", LONG),
+    (f"<main><p>{LONG}</p><div class='ad'>Buy now, today only!</div><aside>See also.</aside></main>", LONG),
+])
+def test_pages_of_other_forms(page, expect):
+    assert html_extract.main_text(page) == expect
+
+
+def test_deep_pages_take_linear_memory():
+    import tracemalloc
+
+    page = "<div>x" * 20_000 + "</b>" * 20_000
+    tracemalloc.start()
+    began = time.time()
+    assert html_extract.main_text(page).count("x") in (0, 20_000)
+    assert time.time() - began < 10 and tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
 def test_minimum_cut_is_the_cheapest_labelling():
     rng = np.random.default_rng(1)
     for _ in range(30):
