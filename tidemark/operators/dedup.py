@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def groups_by_key(df: DataFrame, key: Column, id_col: str, least: int = 2) -> DataFrame:
@@ -28,6 +29,23 @@ def similar_titles(df: DataFrame, id_col: str, title: str, block: Column, least:
     return x.join(y, "block").where("a < b").select("a", "b", ratio.alias("ratio")).where(F.col("ratio") >= least)
 
 
+def cosine_links(vectors: DataFrame, key: str, least: float) -> DataFrame:
+    """``a, b, cosine`` (a < b) of all pairs of unit vectors (``key, word, weight``) whose cosine is ``least`` or more.
+
+    Words are in one order, the rarest first. What lies behind the prefix of a vector has a norm below ``least``, so the first
+    word that two linked vectors share lies in both prefixes: pairs that share none are never made. Candidates are checked on whole vectors.
+    """
+    v = vectors.select(F.col(key).alias("k"), "word", "weight")
+    rare = v.groupBy("word").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("k").orderBy(F.desc("df"), F.desc("word"))
+    behind = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    prefix = v.join(rare.where("df > 1"), "word").withColumn("behind", behind).where(F.col("behind") >= least * least - 1e-9).select("k", "word")
+    pairs = prefix.withColumnRenamed("k", "a").join(prefix.withColumnRenamed("k", "b"), "word").where("a < b").select("a", "b").distinct()
+    left = pairs.join(v.withColumnRenamed("k", "a"), "a")
+    right = v.select(F.col("k").alias("b"), "word", F.col("weight").alias("other"))
+    return left.join(right, ["b", "word"]).groupBy("a", "b").agg(F.sum(F.col("weight") * F.col("other")).alias("cosine")).where(F.col("cosine") >= least)
+
+
 def merged(df: DataFrame, group: str, id_col: str, text: str, number: str) -> DataFrame:
     """The survivor of each group: the longest text, then the greatest number, then the least id; numbers are the group's greatest."""
     best = F.max(F.struct(F.length(text).alias("len"), F.col(number).alias("number"), (-F.col(id_col)).alias("less")))

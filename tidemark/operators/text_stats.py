@@ -35,16 +35,6 @@ def tfidf(df: DataFrame, key: str, words: Column) -> DataFrame:
     return raw.join(norm, key).select(key, "word", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def quality_score(text: Column) -> Column:
-    """Length, readability, variety and structure, 100 at most."""
-    w = X.words(text, 1)
-    length = F.least(F.lit(20), F.floor(F.size(w) / 2000.0 * 20)).cast("double")
-    ease = F.when(X.flesch(text) >= 60, 25.0).when(X.flesch(text) >= 30, 15.0).otherwise(5.0)
-    variety = F.when(F.size(w) == 0, 0.0).otherwise(30.0 * F.size(F.array_distinct(w)) / F.size(w))
-    structure = F.least(F.lit(25.0), 5.0 * F.size(F.split(text, "\n")))
-    return F.least(F.lit(100.0), length + ease + variety + structure)
-
-
 def lexicon_sentiment(words: Column, positive: list[str], negative: list[str]) -> Column:
     """(distinct positive - distinct negative) / sqrt(n + 1), within -1 and 1."""
     d = F.array_distinct(words)

@@ -7,7 +7,9 @@ from tidemark.functions import text as X
 from tidemark.functions.vectors import cosine
 from tidemark.operators import compliance as C
 from tidemark.operators import dedup as D
+from tidemark.operators import text_stats as T
 from tidemark.operators import vectors as V
+from tidemark.operators.graph import components
 from tidemark.plans.registry import query, read
 
 AS_OF = "2024-01-31"
@@ -38,9 +40,29 @@ def similar_titles(spark, sf):
     return D.similar_titles(read(spark, sf, "part"), "p_partkey", "p_name", F.struct("p_brand", "p_type", "p_size"), 0.6).withColumn("ratio", F.round("ratio", 4))
 
 
-@query("""SELECT md5(substr(text, 1, 40)) AS grp, CAST(max_by(doc_id, (length(text), n_chars, -doc_id)) AS BIGINT) AS survivor, CAST(max(length(text)) AS INTEGER) AS length, max(n_chars) AS greatest, count(*) AS n FROM documents GROUP BY 1""")
+#: Unit TF-IDF vectors of whole texts, their links of cosine 0.85 or more, and the classes that links close transitively.
+CLASSES = r"""t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3)) AS word FROM documents), tf AS (SELECT doc_id, word, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT word, count(*) AS df FROM tf GROUP BY 1),
+x AS (SELECT doc_id, word, tf * (ln((1.0 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (word)), v AS (SELECT doc_id, word, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM x),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS cosine FROM v a JOIN v b ON a.word = b.word AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING sum(a.w * b.w) >= 0.85),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node), c AS (SELECT node AS doc_id, min(root) AS grp FROM r GROUP BY 1)"""
+
+
+def _content_links(spark, sf):
+    vectors = T.tfidf(read(spark, sf, "documents"), "doc_id", X.words(F.col("text"), 3))
+    return D.cosine_links(vectors, "doc_id", 0.85)
+
+
+@query(f"""WITH RECURSIVE {CLASSES} SELECT a, b, round(cosine, 4) AS cosine FROM l WHERE a < b""")
+def content_duplicates(spark, sf):
+    return _content_links(spark, sf).select("a", "b", F.round("cosine", 4).alias("cosine"))
+
+
+@query(f"""WITH RECURSIVE {CLASSES} SELECT grp, CAST(max_by(doc_id, (length(text), n_chars, -doc_id)) AS BIGINT) AS survivor, CAST(max(length(text)) AS INTEGER) AS length, max(n_chars) AS greatest, count(*) AS n FROM documents JOIN c USING (doc_id) GROUP BY 1""")
 def merged_duplicates(spark, sf):
-    return D.merged(read(spark, sf, "documents").withColumn("grp", F.md5(F.substring("text", 1, 40))), "grp", "doc_id", "text", "n_chars")
+    """The survivor of each class of texts that link by content, directly or through others."""
+    docs = read(spark, sf, "documents")
+    groups = components(_content_links(spark, sf)).select(F.col("node").alias("doc_id"), "component")
+    return D.merged(docs.join(groups, "doc_id", "left").withColumn("grp", F.coalesce("component", "doc_id")), "grp", "doc_id", "text", "n_chars")
 
 
 @query("""SELECT p_partkey, p_name, p_brand FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_partkey) AS r FROM part) WHERE r = 1""")
@@ -66,10 +88,10 @@ def diverse_neighbours(spark, sf):
     return V.mmr(near.join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id").select("query", "id", "score", "v"), 5)
 
 
-@query("""SELECT label, i, round(avg(x), 4) AS mean, count(*) AS n FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2""")
+@query("""SELECT label, i, round(avg(x), 4) + 0.0 AS mean, count(*) AS n FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2""")
 def cluster_centers(spark, sf):
     c = V.centroids(read(spark, sf, "embeddings"), "label", "embedding")
-    return c.select("label", F.posexplode("centroid").alias("i", "x"), "n").select("label", F.col("i").cast("long").alias("i"), F.round("x", 4).alias("mean"), "n")
+    return c.select("label", F.posexplode("centroid").alias("i", "x"), "n").select("label", F.col("i").cast("long").alias("i"), (F.round("x", 4) + F.lit(0.0)).alias("mean"), "n")
 
 
 @query("""WITH m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1)
@@ -105,13 +127,15 @@ def retention_dry_run(spark, sf):
     return C.expired(_events(spark, sf), "ts", AS_OF, days).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.min("ts").cast("string").alias("oldest"))
 
 
-@query("""SELECT 'customer' AS tbl, c_custkey AS subject, count(*) AS n FROM customer WHERE c_custkey % 50 = 7 GROUP BY 2 UNION ALL SELECT 'orders', o_custkey, count(*) FROM orders WHERE o_custkey % 50 = 7 GROUP BY 2 UNION ALL SELECT 'lineitem', o_custkey, count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = 7 GROUP BY 2""")
+@query("""SELECT 'customer' AS tbl, c_custkey AS subject, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'orders', o_custkey, count(*) FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 2 UNION ALL SELECT 'lineitem', o_custkey, count(*) FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 2""")
 def subject_access(spark, sf):
-    subjects = read(spark, sf, "customer").where("c_custkey % 50 = 7").select(F.col("c_custkey").alias("subject"))
-    orders = read(spark, sf, "orders").join(subjects, F.col("o_custkey") == F.col("subject")).select("subject", "o_orderkey")
-    lines = orders.join(read(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("subject")
-    tagged = lambda df, t: df.groupBy("subject").agg(F.count("*").alias("n")).select(F.lit(t).alias("tbl"), "subject", "n")
-    return tagged(subjects, "customer").unionByName(tagged(orders.select("subject"), "orders")).unionByName(tagged(lines, "lineitem"))
+    """How many rows of each table belong to each subject; lines are counted by order before they meet the orders."""
+    subjects = read(spark, sf, "customer").select(F.col("c_custkey").alias("subject"))
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"))
+    orders = read(spark, sf, "orders").select(F.col("o_custkey").alias("subject"), "o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    owned = orders.groupBy("subject").agg(F.count("*").alias("orders"), F.sum("lines").alias("lineitem")).join(subjects.distinct(), "subject", "left_semi")
+    each = owned.select("subject", F.explode(F.create_map(F.lit("orders"), "orders", F.lit("lineitem"), "lineitem")).alias("tbl", "n")).where("n > 0")
+    return subjects.groupBy("subject").agg(F.count("*").alias("n")).select(F.lit("customer").alias("tbl"), "subject", "n").unionByName(each.select("tbl", "subject", "n"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_id || ':' || event_type AS p FROM events), c AS (SELECT user_id, seq, sha256('|' || p) AS hash FROM r WHERE seq = 0 UNION ALL SELECT r.user_id, r.seq, sha256(c.hash || '|' || r.p) FROM c JOIN r ON r.user_id = c.user_id AND r.seq = c.seq + 1)

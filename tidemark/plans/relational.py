@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 from tidemark.operators import filters as P
-from tidemark.plans.registry import query, read
+from tidemark.plans.registry import TIE, query, read
 
 AS_OF = "2024-01-31"
 
@@ -154,9 +154,9 @@ def review_status_pivot(spark, sf):
     return status.select("o_orderpriority", total.alias("total"), F.col("F").alias("done"), F.col("O").alias("open"), F.col("P").alias("partly"), F.round(F.col("F") * 100.0 / total, 2).alias("progress"))
 
 
-@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY GROUPING SETS ((CAST(ts AS DATE), event_type), (CAST(ts AS DATE)), (event_type), ())""")
+@query("""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n, round(avg(value) + 1e-9, 4) AS mean FROM events GROUP BY GROUPING SETS ((CAST(ts AS DATE), event_type), (CAST(ts AS DATE)), (event_type), ())""")
 def activity_cube(spark, sf):
-    return _events(spark, sf).withColumn("day", F.to_date("ts").cast("string")).cube("day", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return _events(spark, sf).withColumn("day", F.to_date("ts").cast("string")).cube("day", "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value") + TIE, 4).alias("mean"))
 
 
 @query("""WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error' OR value < 5) AS noise, count(*) FILTER (hour(ts) >= 22 OR hour(ts) < 6) AS night FROM events GROUP BY 1), s AS (SELECT *, least(100, 100 * (0.5 * least(1, n / 100.0) + 0.3 * noise / n + 0.2 * night / n)) AS score FROM r)

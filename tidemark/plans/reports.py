@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
-from tidemark.plans.registry import query, read
+from tidemark.plans.registry import TIE, query, read
 
 AS_OF = "2024-01-31"
 
@@ -17,9 +17,9 @@ def _total(df):
     return df.agg(F.count("*").alias("total"))
 
 
-@query("""SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS searches, round(avg(value), 4) AS mean, round(avg(CASE WHEN value < 5 THEN 1.0 ELSE 0.0 END), 4) AS zero_rate FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS searches, round(avg(value) + 1e-9, 4) AS mean, round(avg(CASE WHEN value < 5 THEN 1.0 ELSE 0.0 END) + 1e-9, 4) AS zero_rate FROM events GROUP BY 1, 2""")
 def search_trends(spark, sf):
-    return _events(spark, sf).groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("searches"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.avg(F.when(F.col("value") < 5, 1.0).otherwise(0.0)), 4).alias("zero_rate"))
+    return _events(spark, sf).groupBy("event_type", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("searches"), F.round(F.avg("value") + TIE, 4).alias("mean"), F.round(F.avg(F.when(F.col("value") < 5, 1.0).otherwise(0.0)) + TIE, 4).alias("zero_rate"))
 
 
 @query("""SELECT user_id, count(*) AS n, CAST(max(ts) AS VARCHAR) AS last_seen FROM events WHERE value < 5 GROUP BY 1 HAVING count(*) > 2""")
