@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import compliance, dedup, filters, series, text_stats, vectors
-from tidemark.operators.workflow import Workflow
 from tidemark.sources import readers, writers
 from tidemark.streaming import activity
 
@@ -34,8 +33,29 @@ def test_series_edges(spark):
     labels = {(r["k"], r["day"].day): r["label"] for r in series.zscores(df, ["k"]).collect()}
     assert labels["flat", 4] == "normal" and labels["jump", 4] == "spike" and labels["one", 1] == "normal"
     assert {r["k"]: r["autocorrelation"] for r in series.autocorrelation(df, ["k"], 1).collect()}["flat"] == 0.0
-    assert series.dense(df.where("false"), ["k"], "2024-01-01", "2024-01-03", ["n"]).count() == 0
-    assert series.dense(df.where("k = 'one'"), ["k"], "2024-01-01", "2024-01-03", ["n"]).count() == 3
+    assert series.dense(df.where("false"), ["k"], ["n"]).count() == 0
+    assert series.dense(df, ["k"], ["n"]).count() == 3 * 4 and series.dense(df.where("k = 'one'"), ["k"], ["n"]).count() == 1
+    assert {r["k"]: (r["label"], r["z"]) for r in series.last_against_rest(df, ["k"], F.col("n")).collect()}["one"] == ("normal", 0.0)
+    assert {r["k"]: r["is_shift"] for r in series.half_shift(df, ["k"], "n", 0.3, True).collect()} == {"flat": False, "jump": True, "one": True}
+    assert {r["k"]: r["growth"] for r in series.compound_growth(df, ["k"]).collect()} == {"flat": 0.0, "jump": round(1.4**0.5 - 1, 6), "one": 0.0}
+    assert {r["stage"] for r in series.lifecycle(df, ["k"]).collect()} == {"emerging"} and {r["trend"] for r in series.direction(df, ["k"]).collect()} == {"stable"}
+    assert series.trend_changes(df, ["k"], 2).count() == 0
+
+
+def test_components_and_content_links(spark):
+    from tidemark.operators.graph import components
+
+    links = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(50, 40), (7, 7)], "a long, b long")
+    assert {r["node"]: r["component"] for r in components(links).collect()} == {k: 0 for k in range(31)} | {40: 40, 50: 40}
+    assert components(links.where("false")).count() == 0
+    texts = [(1, "alpha beta gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha beta gamma omega"), (4, "other words entirely"), (5, ""), (6, None)]
+    found = dedup.cosine_links(text_stats.tfidf(spark.createDataFrame(texts, "id long, t string"), "id", X.words(F.col("t"))), "id", 0.6).collect()
+    assert {(r["a"], r["b"]) for r in found} >= {(1, 2)} and all(r["b"] < 4 for r in found)
+
+
+def test_words_and_syllables(spark):
+    assert one(spark, X.words(F.col("t"), 3, ("the", "and")), t="The then AND andes a bb ccc http://x.y/the z9z") == ["then", "andes", "ccc", "z9z"]
+    assert round(one(spark, X.flesch(F.col("t")), t="The be queue rhythm e. Fly be!"), 3) == round(206.835 - 1.015 * 7 / 2 - 84.6 * 7 / 7, 3)
 
 
 def test_boolean_search(spark):
@@ -70,13 +90,6 @@ def test_hash_chain_finds_a_change(spark):
     assert compliance.verified(chain, changed, "c").first()["intact"] is False
 
 
-def test_workflow_problems():
-    flow = Workflow()
-    flow.add("a", lambda b: b, ["b"])
-    flow.add("b", lambda a: a, ["a", "x"])
-    assert len(flow.problems()) == 3
-
-
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "posts.json").write_text('{"title":"T","body":"hello #Tag","url":"u1","author":{"name":"ann"},"time":1704067200,"likes":3}\n{"text":"x","user":{"name":"bob"},"created_at":"2024-01-02T00:00:00"}\n')
     (tmp_path / "feed.xml").write_text("<rss><channel><item><title>F</title><link>u2</link><description>d &lt;b&gt;x&lt;/b&gt;</description><pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate></item></channel></rss>")

@@ -25,17 +25,20 @@ def clean_markup(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def _runs(text: Column, letters: str, least: int, stop: tuple[str, ...]) -> Column:
+    """Whole runs of ``letters`` of ``least`` characters or more that aren't stop words, by one pass of one pattern."""
+    not_stop = f"(?!(?:{'|'.join(stop)})(?![{letters}]))" if stop else ""
+    return F.regexp_extract_all(text, F.lit(f"(?<![{letters}]){not_stop}[{letters}]{{{least},}}"), F.lit(0))
+
+
 def words(text: Column, least: int = 1, stop: tuple[str, ...] = ()) -> Column:
     """Lower-case runs of ASCII letters and digits, without links, of ``least`` characters or more, without stop words."""
-    text = F.regexp_replace(F.lower(text), r"https?://[^\s]+", " ")
-    out = F.filter(F.split(text, "[^a-z0-9]+"), lambda w: F.length(w) >= least)
-    return F.filter(out, lambda w: ~w.isin(*stop)) if stop else out
+    return _runs(F.regexp_replace(F.lower(text), r"https?://[^\s]+", " "), "a-z0-9", max(1, least), stop)
 
 
 def letters_only(text: Column, least: int = 3, stop: tuple[str, ...] = STOP_WORDS) -> Column:
     """Words for topic models: links, mentions, tags, marks and digits are gone."""
-    text = F.regexp_replace(F.lower(text), r"https?://[^\s]+|[@#][a-z0-9_]+", " ")
-    return F.filter(F.split(text, "[^a-z]+"), lambda w: (F.length(w) >= least) & ~w.isin(*stop))
+    return _runs(F.regexp_replace(F.lower(text), r"https?://[^\s]+|[@#][a-z0-9_]+", " "), "a-z", least, stop)
 
 
 def sentences(text: Column) -> Column:
@@ -56,10 +59,14 @@ def syllables(word: Column) -> Column:
 
 
 def flesch(text: Column) -> Column:
-    """Flesch reading ease, at least 0; 50 where there is no word or sentence."""
-    w = F.filter(F.split(F.lower(text), "[^a-z]+"), lambda x: x != "")
-    n_words, n_sentences = F.size(w), F.size(sentences(text))
-    n_syllables = F.aggregate(F.transform(w, syllables), F.lit(0), lambda a, x: a + x)
+    """Flesch reading ease, at least 0; 50 where there is no word or sentence.
+
+    Syllables are counted on the whole text: vowel groups once final e's are gone, and one for each word that has none then.
+    """
+    low = F.lower(text)
+    n_words, n_sentences = F.regexp_count(low, F.lit("[a-z]+")), F.size(sentences(text))
+    groups = F.regexp_count(F.regexp_replace(low, "e(?![a-z])", ""), F.lit("[aeiouy]+"))
+    n_syllables = groups + F.regexp_count(low, F.lit("(?<![a-z])(?:[b-df-hj-np-tv-xz]+e?|e)(?![a-z])"))
     ease = 206.835 - 1.015 * n_words / n_sentences - 84.6 * n_syllables / n_words
     return F.when((n_words == 0) | (n_sentences == 0), 50.0).otherwise(F.greatest(F.lit(0.0), ease))
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +39,25 @@ def moderation(text: Column, words: list[str]) -> dict[str, Column]:
 def chained(df: DataFrame, chain: str, order: list[str], payload: Column) -> DataFrame:
     """``chain, seq, hash``: sha256 of the hash before it and the payload, within each chain.
 
-    A chain is folded in its order by one expression; chains are independent of each other.
+    Rows of a chain follow each other within one partition and pass in batches, with the last hash carried on: time is linear in a chain, memory
+    doesn't grow with it. A null payload is empty.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, payload.alias("p"))))
-    step = lambda acc, r: F.struct(F.sha2(F.concat_ws("|", acc["last"], r["p"]), 256).alias("last"), F.concat(acc["all"], F.array(F.sha2(F.concat_ws("|", acc["last"], r["p"]), 256))).alias("all"))
-    folded = F.aggregate("rows", F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("all")), step, lambda a: a["all"])
-    return df.groupBy(chain).agg(rows.alias("rows")).select(chain, F.posexplode(folded).alias("seq", "hash"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, seq, last = None, 0, ""
+        for batch in batches:
+            seqs, hashes = [], []
+            for key, text in zip(batch["chain"], batch["payload"], strict=True):
+                if at is None or key != at:
+                    at, seq, last = key, 0, ""
+                last = hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                seqs.append(seq)
+                hashes.append(last)
+                seq += 1
+            yield pd.DataFrame({chain: batch["chain"], "seq": seqs, "hash": hashes})
+
+    rows = df.select(F.col(chain).alias("chain"), *order, F.coalesce(payload, F.lit("")).alias("payload")).where("chain is not null")
+    return rows.repartition("chain").sortWithinPartitions("chain", *order).select("chain", "payload").mapInPandas(run, f"`{chain}` {df.schema[chain].dataType.simpleString()}, seq int, hash string")
 
 
 def verified(chains: DataFrame, stored: DataFrame, chain: str) -> DataFrame:

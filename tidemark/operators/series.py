@@ -13,9 +13,10 @@ def daily(df: DataFrame, ts: str, keys: list[str], value: Column | None = None)
     return df.groupBy(*keys, F.to_date(ts).alias("day")).agg(*out)
 
 
-def dense(series: DataFrame, keys: list[str], first: str, last: str, values: list[str]) -> DataFrame:
-    """Every day from ``first`` to ``last`` for every key, with 0 where the series has none."""
-    days = series.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)))).alias("day"))
+def dense(series: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Every day from the series' first to its last for every key, with 0 where the series has none."""
+    span = series.agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    days = series.select(*keys).distinct().crossJoin(F.broadcast(span)).select(*keys, F.explode(F.sequence("first", "last")).alias("day"))  # one row
     return days.join(series, [*keys, "day"], "left").fillna(0, values)
 
 
@@ -89,3 +90,75 @@ def movers(df: DataFrame, ts: str, key: str, split: str, first: str, last: str)
     out = df.where((at >= first) & (at <= last)).groupBy(key).agg(now.alias("current"), then.alias("previous"))
     change = F.when(F.col("previous") > 0, (F.col("current") - F.col("previous")) * 100.0 / F.col("previous")).when(F.col("current") > 0, 100.0).otherwise(0.0)
     return out.withColumn("change_pct", F.round(change, 2))
+
+
+def _numbered(series: DataFrame, keys: list[str]) -> DataFrame:
+    """With ``_i`` (from 1) and ``_c``, the number of days."""
+    return series.withColumns({"_i": F.row_number().over(ordered(keys)), "_c": F.count("*").over(Window.partitionBy(*keys))})
+
+
+def _mean(condition: Column, value: str = "n") -> Column:
+    return F.avg(F.when(condition, F.col(value)))
+
+
+def compound_growth(series: DataFrame, keys: list[str], days: int = 30) -> DataFrame:
+    """``keys, growth``: growth a day from the first half's mean to the second's, over the last ``days`` days; 1 from nothing, 0 for one day."""
+    i, width = F.col("_i"), F.least(F.col("_c"), F.lit(days))
+    start = F.col("_c") - width
+    half = start + F.floor(width / 2)
+    g = _numbered(series, keys).groupBy(*keys).agg(_mean((i > start) & (i <= half)).alias("a"), _mean(i > half).alias("b"), F.max("_c").alias("c"))
+    periods = F.greatest(F.floor(F.least(F.col("c"), F.lit(days)) / 2), F.lit(1))
+    rate = F.round(F.pow(F.col("b") / F.col("a"), 1.0 / periods) - 1, 6)
+    return g.select(*keys, F.when(F.col("c") < 2, 0.0).when(F.col("a") == 0, F.when(F.col("b") > 0, 1.0).otherwise(0.0)).otherwise(rate).alias("growth"))
+
+
+def lifecycle(series: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, recent, mid, early, stage`` from the means of ten days at the end, in the middle and at the start of the last 90, and the growth rate."""
+    i, c = F.col("_i"), F.col("_c")
+    ten = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)) / 10.0
+    m = _numbered(series, keys).where(c - i < 90).groupBy(*keys).agg(
+        ten(i > c - 10).alias("recent"), ten((i > F.greatest(F.lit(0), F.floor(c / 2) - 5)) & (i <= F.floor(c / 2) + 5)).alias("mid"), ten(i <= 10).alias("early"), F.sum("n").alias("volume"), F.max("_c").alias("days"))
+    recent, mid, early, growth = (F.col(x) for x in ("recent", "mid", "early", "growth"))
+    stage = (
+        F.when((F.col("days") < 10) | (F.col("volume") < 5), "emerging").when((growth > 0.03) & (recent > early * 2), "growing").when((growth > 0.003) & (recent > mid * 0.7), "mature")
+        .when((growth < -0.01) & (recent < early * 0.5), "declining").when((growth > 0.01) & (recent > mid * 1.3) & (early < mid * 0.5), "resurging").when(recent > mid * 0.7, "mature")
+        .when(recent < early * 0.3, "declining").when(growth > 0, "growing").otherwise("mature")
+    )
+    return m.join(compound_growth(series, keys), keys).select(*keys, "recent", "mid", "early", stage.alias("stage"))
+
+
+def trend_changes(series: DataFrame, keys: list[str], window: int = 7, threshold: float = 2.0, value: str = "n") -> DataFrame:
+    """``keys, day, kind, magnitude, t`` of the days where the means of the ``window`` days before and from then on differ by a pooled t above ``threshold``."""
+    before, after = ordered(keys).rowsBetween(-window, -1), ordered(keys).rowsBetween(0, window - 1)
+    x = _numbered(series, keys).withColumns({"mb": F.avg(value).over(before), "ma": F.avg(value).over(after), "sb": F.var_pop(value).over(before) * window, "sa": F.var_pop(value).over(after) * window})
+    t = (F.col("ma") - F.col("mb")) / F.greatest(F.sqrt((F.col("sb") + F.col("sa")) / (2 * window - 2) * (2 / window)), F.lit(0.001))
+    x = x.where((F.col("_i") > window) & (F.col("_i") <= F.col("_c") - window)).withColumn("t", t).where(F.abs("t") > threshold)
+    return x.select(*keys, "day", F.when(F.col("t") > 0, "up").otherwise("down").alias("kind"), F.abs(F.col("ma") - F.col("mb")).alias("magnitude"), "t")
+
+
+def direction(series: DataFrame, keys: list[str], value: str = "n") -> DataFrame:
+    """``keys, trend``: the last seven days' mean against the first seven's; stable below seven days."""
+    m = _numbered(series, keys).groupBy(*keys).agg(_mean(F.col("_i") > F.col("_c") - 7, value).alias("recent"), _mean(F.col("_i") <= 7, value).alias("older"), F.max("_c").alias("days"))
+    diff, limit = F.col("recent") - F.col("older"), F.greatest(F.lit(0.5), F.col("older") * 0.1)
+    return m.select(*keys, F.when(F.col("days") < 7, "stable").when(diff > limit, "up").when(diff < -limit, "down").otherwise("stable").alias("trend"))
+
+
+def half_shift(series: DataFrame, keys: list[str], value: str, threshold: float, relative: bool) -> DataFrame:
+    """``keys, previous, current, change, is_shift``: the first half of the days against the second, in shares of the first or in units.
+
+    A relative change from nothing is 1, or 0 to nothing.
+    """
+    half = F.floor(F.col("_c") / 2)
+    m = _numbered(series, keys).groupBy(*keys).agg(_mean(F.col("_i") <= half, value).alias("previous"), _mean(F.col("_i") > half, value).alias("current"))
+    diff = F.col("current") - F.coalesce("previous", F.lit(0.0))
+    share = F.when(F.col("previous") > 0, diff / F.col("previous")).when(F.col("current") > 0, 1.0).otherwise(0.0)
+    return m.withColumn("change", share if relative else diff).withColumn("is_shift", F.abs("change") > threshold)
+
+
+def last_against_rest(series: DataFrame, keys: list[str], value: Column, threshold: float = 2.0, with_last: bool = False) -> DataFrame:
+    """``keys, current, expected, z, label``: the last day's value against the mean and deviation of the days before (with_last: of all days); 0 for a flat series."""
+    x = _numbered(series.withColumn("_v", value), keys)
+    rest = F.lit(True) if with_last else F.col("_i") < F.col("_c")
+    m = x.groupBy(*keys).agg(F.max(F.when(F.col("_i") == F.col("_c"), F.col("_v"))).alias("current"), _mean(rest, "_v").alias("expected"), F.stddev_pop(F.when(rest, F.col("_v"))).alias("std"))
+    m = m.withColumn("expected", F.coalesce("expected", "current")).withColumn("z", F.when(F.col("std") > 1e-12, (F.col("current") - F.col("expected")) / F.col("std")).otherwise(0.0)).drop("std")
+    return m.withColumn("label", F.when(F.col("z") > threshold, "spike").when(F.col("z") < -threshold, "drop").otherwise("normal"))

@@ -10,7 +10,7 @@ from tidemark.operators import dedup as D
 from tidemark.operators import text_stats as T
 from tidemark.operators import vectors as V
 from tidemark.operators.graph import components
-from tidemark.plans.registry import query, read
+from tidemark.plans.registry import query, read, read_texts
 
 AS_OF = "2024-01-31"
 
@@ -48,7 +48,7 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.r
 
 
 def _content_links(spark, sf):
-    vectors = T.tfidf(read(spark, sf, "documents"), "doc_id", X.words(F.col("text"), 3))
+    vectors = T.tfidf(read_texts(spark, sf), "doc_id", X.words(F.col("text"), 3))
     return D.cosine_links(vectors, "doc_id", 0.85)
 
 
@@ -109,7 +109,7 @@ LEVELS = [("restricted", ["token = ", "password"]), ("confidential", [r"\+1 \([0
 
 @query(r"""SELECT CASE WHEN regexp_matches(text, 'token = |password') THEN 'restricted' WHEN regexp_matches(text, '\+1 \([0-9]{3}\)|@mail[0-9]') THEN 'confidential' WHEN regexp_matches(text, '[0-9]{1,3}([.][0-9]{1,3}){3}') THEN 'internal' ELSE 'public' END AS level, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1""")
 def classification_levels(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", C.classified(F.col("text"), LEVELS).alias("level"))
+    d = read_texts(spark, sf).select("doc_id", C.classified(F.col("text"), LEVELS).alias("level"))
     return d.groupBy("level").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
 
 
@@ -118,7 +118,7 @@ CASE WHEN len(regexp_extract_all(text, 'https?://')) >= 3 THEN 1.0 ELSE 0.0 END
 SELECT doc_id, CAST(shouting AS DOUBLE) AS shouting, CAST(runs AS DOUBLE) AS runs, CAST(links AS DOUBLE) AS links, CAST(words AS DOUBLE) AS words, shouting + runs + links + words = 0 AS approved FROM s""")
 def moderation(spark, sf):
     scores = C.moderation(F.col("text"), ["moron", "idiot", "scum"])
-    return read(spark, sf, "documents").select("doc_id", *(c.alias(k) for k, c in scores.items())).withColumn("approved", F.col("shouting") + F.col("runs") + F.col("links") + F.col("words") == 0)
+    return read_texts(spark, sf).select("doc_id", *(c.alias(k) for k, c in scores.items())).withColumn("approved", F.col("shouting") + F.col("runs") + F.col("links") + F.col("words") == 0)
 
 
 @query(f"""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, CAST(min(ts) AS VARCHAR) AS oldest FROM events WHERE date_diff('day', CAST(ts AS DATE), DATE '{AS_OF}') > CASE event_type WHEN 'click' THEN 7 WHEN 'view' THEN 14 ELSE 21 END GROUP BY 1""")
@@ -170,13 +170,8 @@ def alert_suppression(spark, sf):
 
 @query("""SELECT event_type, CASE WHEN value >= 80 THEN 'critical' WHEN value >= 40 THEN 'normal' ELSE 'low' END AS branch, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
 def workflow_branches(spark, sf):
-    from tidemark.operators.workflow import Workflow
-
-    flow = Workflow()
-    flow.add("scan", lambda: _events(spark, sf))
-    flow.add("branch", lambda scan: scan.withColumn("branch", F.when(F.col("value") >= 80, "critical").when(F.col("value") >= 40, "normal").otherwise("low")), ["scan"])
-    flow.add("report", lambda branch: branch.groupBy("event_type", "branch").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")), ["branch"])
-    return flow.run()["report"]
+    branch = F.when(F.col("value") >= 80, "critical").when(F.col("value") >= 40, "normal").otherwise("low")
+    return _events(spark, sf).groupBy("event_type", branch.alias("branch")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("""SELECT event_id, user_id, CASE WHEN value < 2 THEN 'too small' ELSE 'bad type' END AS error FROM events WHERE value < 2 OR event_type = 'error'""")

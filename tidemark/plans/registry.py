@@ -26,3 +26,9 @@ def query(sql: str | None = None):
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def read_texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of long texts. A file of one row group is one partition however large the session; its rows are dealt out to all cores then."""
+    df, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

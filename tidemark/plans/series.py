@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tidemark.operators import series as S
 from tidemark.plans.registry import query, read
 
-FIRST, LAST = "2024-01-01", "2024-01-30"
-DENSE = f"""days AS (SELECT CAST(unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 DAY)) AS DATE) AS day),
+FIRST, LAST = "2024-01-01", "2024-01-30"  # the periods that top_movers compares
+#: Every day from the table's first to its last, for every key.
+DENSE = """days AS (SELECT CAST(unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events), (SELECT max(CAST(ts AS DATE)) FROM events), INTERVAL 1 DAY)) AS DATE) AS day),
 keys AS (SELECT DISTINCT event_type FROM events),
 counts AS (SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2),
 s AS (SELECT k.event_type, d.day, CAST(coalesce(c.n, 0) AS BIGINT) AS n, coalesce(c.total, 0.0) AS total FROM keys k CROSS JOIN days d LEFT JOIN counts c ON c.event_type = k.event_type AND c.day = d.day)"""
@@ -17,7 +18,7 @@ def _events(spark, sf):
 
 
 def _dense(spark, sf):
-    return S.dense(S.daily(_events(spark, sf), "ts", ["event_type"], F.col("value")), ["event_type"], FIRST, LAST, ["n", "total"])
+    return S.dense(S.daily(_events(spark, sf), "ts", ["event_type"], F.col("value")), ["event_type"], ["n", "total"])
 
 
 @query(f"""WITH {DENSE}, b AS (SELECT *, count(n) OVER w AS days_before, avg(n) OVER w AS m, stddev_pop(n) OVER w AS sd FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -104,14 +105,21 @@ def peak_hours(spark, sf):
     return out.select("hour", F.coalesce("count", F.lit(0)).cast("long").alias("n"), F.round(pct, 4).alias("pct"), (pct > 1.5 * 100 / 24).alias("is_peak"))
 
 
-@query(f"""WITH {DENSE}, i AS (SELECT event_type, n, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i FROM s), m AS (SELECT event_type, avg(n) FILTER (i > 23) AS recent, avg(n) FILTER (i > 15 AND i <= 23) AS mid, avg(n) FILTER (i <= 7) AS early, avg(n) AS overall FROM i GROUP BY 1)
-SELECT event_type, round(recent, 4) AS recent, round(mid, 4) AS mid, round(early, 4) AS early, CASE WHEN overall = 0 THEN 'dormant' WHEN recent > 1.2 * mid AND mid >= early THEN 'growing' WHEN early < 0.2 * overall AND recent > mid THEN 'emerging' WHEN recent < 0.5 * mid THEN 'declining' WHEN recent < 0.8 * early THEN 'fading' ELSE 'stable' END AS stage FROM m""")
+GROWTH = """i AS (SELECT event_type, day, n, row_number() OVER (PARTITION BY event_type ORDER BY day) AS i, count(*) OVER (PARTITION BY event_type) AS c FROM s),
+g AS (SELECT event_type, any_value(c) AS c, avg(n) FILTER (i > c - 30 AND i <= c - least(c, 30) + least(c, 30) // 2) AS a, avg(n) FILTER (i > c - least(c, 30) + least(c, 30) // 2) AS b, least(any_value(c), 30) // 2 AS periods FROM i GROUP BY 1),
+r AS (SELECT event_type, c, CASE WHEN c < 2 THEN 0.0 WHEN a = 0 THEN CASE WHEN b > 0 THEN 1.0 ELSE 0.0 END ELSE round(pow(b / a, 1.0 / greatest(periods, 1)) - 1, 6) END AS growth FROM g)"""
+
+
+@query(f"""WITH {DENSE}, {GROWTH} SELECT event_type, round(growth + 1e-9, 5) AS growth FROM r""")
+def compound_growth(spark, sf):
+    return S.compound_growth(_dense(spark, sf), ["event_type"]).select("event_type", F.round(F.col("growth") + 1e-9, 5).alias("growth"))
+
+
+@query(f"""WITH {DENSE}, {GROWTH}, m AS (SELECT event_type, sum(n) FILTER (i > c - 10) / 10.0 AS recent, sum(n) FILTER (i > greatest(0, c // 2 - 5) AND i <= c // 2 + 5) / 10.0 AS mid, sum(n) FILTER (i <= 10) / 10.0 AS early, sum(n) AS volume FROM i WHERE c - i < 90 GROUP BY 1)
+SELECT event_type, recent, mid, early, CASE WHEN c < 10 OR volume < 5 THEN 'emerging' WHEN growth > 0.03 AND recent > early * 2 THEN 'growing' WHEN growth > 0.003 AND recent > mid * 0.7 THEN 'mature' WHEN growth < -0.01 AND recent < early * 0.5 THEN 'declining'
+WHEN growth > 0.01 AND recent > mid * 1.3 AND early < mid * 0.5 THEN 'resurging' WHEN recent > mid * 0.7 THEN 'mature' WHEN recent < early * 0.3 THEN 'declining' WHEN growth > 0 THEN 'growing' ELSE 'mature' END AS stage FROM m JOIN r USING (event_type)""")
 def topic_lifecycle(spark, sf):
-    i = _dense(spark, sf).withColumn("i", F.row_number().over(S.ordered(["event_type"])))
-    mean = lambda c: F.avg(F.when(c, F.col("n")))
-    m = i.groupBy("event_type").agg(mean(F.col("i") > 23).alias("recent"), mean((F.col("i") > 15) & (F.col("i") <= 23)).alias("mid"), mean(F.col("i") <= 7).alias("early"), F.avg("n").alias("overall"))
-    stage = F.expr("CASE WHEN overall = 0 THEN 'dormant' WHEN recent > 1.2 * mid AND mid >= early THEN 'growing' WHEN early < 0.2 * overall AND recent > mid THEN 'emerging' WHEN recent < 0.5 * mid THEN 'declining' WHEN recent < 0.8 * early THEN 'fading' ELSE 'stable' END")
-    return m.select("event_type", *(F.round(c, 4).alias(c) for c in ("recent", "mid", "early")), stage.alias("stage"))
+    return S.lifecycle(_dense(spark, sf), ["event_type"])
 
 
 @query(f"""WITH {DENSE}, f AS (SELECT event_type, n, avg(n) OVER w AS p, lag(n) OVER o AS naive FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), o AS (PARTITION BY event_type ORDER BY day))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.operators import text_stats as T
-from tidemark.plans.registry import query, read
+from tidemark.plans.registry import query, read_texts
 
 STOP = "('" + "', '".join(X.STOP_WORDS) + "')"
 #: Words as ``functions.text.words`` takes them.
@@ -19,7 +19,7 @@ SENTENCES = "list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1'
 
 
 def _docs(spark, sf):
-    return read(spark, sf, "documents")
+    return read_texts(spark, sf)
 
 
 @query("""SELECT doc_id, md5(source || ':' || substr(text, 1, 100)) AS key, trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[^\\p{L}\\p{N}_\\s.,!?:;()#@/-]', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM documents""")
