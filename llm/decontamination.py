@@ -51,15 +51,19 @@ def _windows(df: DataFrame, key: str, size: Column) -> DataFrame:
     return out.select(key, "size", "at", F.xxhash64("text").alias("gram"), F.xxhash64(F.lit(SPAN), "text").alias("gram2"))
 
 
-def winnowing_hits(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, n_words)`` for each row of documents, and the window hits ``(doc_id, at, size, item_id)``.
+def winnowing_hits(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(doc_id, n_words)`` for each row of documents, the window hits ``(doc_id, at, size, item_set)``, and ``(item_set, items)``.
+
+    A window that many items share is one row with the number of its set of items, so a common passage costs a document its places, not
+    places times items.
 
     documents: ``doc_id, text``; items: ``item_id, text``; other columns aren't read. A window is SPAN
     consecutive item words, or all words of a shorter item that isn't empty. Null texts have no words; rows
     that share an id share their hits. Windows are compared by 128 bits of hash.
     """
     items = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    windows = written(_windows(items, "item_id", F.least(F.lit(SPAN), F.size("words"))).drop("at").distinct())
+    windows = _windows(items, "item_id", F.least(F.lit(SPAN), F.size("words"))).groupBy("size", "gram", "gram2").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    windows = written(windows.withColumn("item_set", F.xxhash64("items")))
     marks = written(items.where(F.size("words") >= SPAN).select(F.explode(_fingerprints("words")).alias("mark")).distinct())
     docs = documents.select("doc_id", words(F.col("text")).alias("words"))
     # A row for the document itself, with its size, and one for each fingerprint; those without a match go.
@@ -79,20 +83,20 @@ def winnowing_hits(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, D
     docs = documents.join(candidates, documents["doc_id"].eqNullSafe(candidates["_id"]), "left_semi").select("doc_id", words(F.col("text")).alias("words"))
     hits = None
     for n in sorted(sizes):
-        of = _windows(docs, "doc_id", F.lit(n)).join(windows.where(F.col("size") == n).drop("size"), ["gram", "gram2"]).select("doc_id", "at", "size", "item_id")
+        of = _windows(docs, "doc_id", F.lit(n)).join(windows.where(F.col("size") == n).select("gram", "gram2", "item_set"), ["gram", "gram2"]).select("doc_id", "at", "size", "item_set")
         hits = of if hits is None else hits.unionByName(of)
     if hits is None:
-        hits = docs.sparkSession.createDataFrame([], "doc_id long, at int, size int, item_id string")
-    return found.where("n_words is not null"), hits
+        hits = docs.sparkSession.createDataFrame([], "doc_id long, at int, size int, item_set long")
+    return found.where("n_words is not null"), hits, windows.select("item_set", "items").distinct()
 
 
 def decontaminate(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of documents (see ``winnowing_hits``)."""
-    sizes, hits = winnowing_hits(documents, items)
-    # one row for each place, so that a window which many items share is counted once for each
-    by_item = hits.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("at", "size")).alias("at"))
-    places = F.array_distinct(F.flatten(F.transform(F.flatten(F.collect_list("at")), lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))
-    by_doc = by_item.groupBy(F.col("doc_id").alias("_id")).agg(F.size(places).cast("long").alias("n_hit"), F.collect_set("item_id").alias("items"))
+    sizes, hits, sets = winnowing_hits(documents, items)
+    places = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("at", "size")), lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1))))
+    at = written(hits.groupBy(F.col("doc_id").alias("_id")).agg(F.size(places).cast("long").alias("n_hit"), F.collect_set("item_set").alias("sets")))
+    named = at.select("_id", F.explode("sets").alias("item_set")).join(sets, "item_set").groupBy(F.col("_id").alias("_named")).agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    by_doc = at.join(named, F.col("_id").eqNullSafe(F.col("_named")), "left").select("_id", "n_hit", "items")
     out = sizes.join(by_doc, sizes["doc_id"].eqNullSafe(by_doc["_id"]), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from llm.common import components, table, written
 
-LINK, NEAREST, MORE_NEAREST, SHARED, BLOCK = 0.93, 6, 3, 1, 256
+LINK, NEAREST, MORE_NEAREST, SHARED, BLOCK = 0.93, 6, 3, 1, 1024
 #: Pivots: one for PER_PIVOT vectors, within these bounds; the sample that they come from is as large.
 PER_PIVOT, LEAST_PIVOTS, MOST_PIVOTS = 800, 64, 4096
 
@@ -35,6 +35,22 @@ def _unit(vectors: list) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _packed(vectors: list) -> list[bytes]:
+    """Each vector's components as 4-byte numbers where that loses nothing, else as 8-byte ones."""
+    out = []
+    for v in vectors:
+        x = np.asarray(v, np.float64)
+        with np.errstate(over="ignore"):
+            short = x.astype("<f4")
+        out.append((short if (short == x).all() else x).tobytes())
+    return out
+
+
+def _unpacked(packed: pd.Series, dim: int) -> np.ndarray:
+    """Unit vectors in double precision."""
+    return _unit([np.frombuffer(b, "<f4" if len(b) == 4 * dim else "<f8") for b in packed])
+
+
 def _pivots(vectors: DataFrame, n: int, near: float) -> dict[int, np.ndarray]:
     """Reference points by dimension: at most n, those of least hash, without ones in another's ball."""
     sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("dim", "vector").limit(n).collect()
@@ -49,7 +65,7 @@ def _pivots(vectors: DataFrame, n: int, near: float) -> dict[int, np.ndarray]:
 
 
 def _described(vectors: DataFrame, pivots: dict[int, np.ndarray], nearest: int, near: float) -> DataFrame:
-    """``vec_id, label, dim, unit, near, ball``; a dimension that no pivot has is one list (pivot 0)."""
+    """``vec_id, label, dim, packed, near, ball``; a dimension that no pivot has is one list (pivot 0)."""
     shared = vectors.sparkSession.sparkContext.broadcast(pivots)  # MOST_PIVOTS vectors at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,9 +78,9 @@ def _described(vectors: DataFrame, pivots: dict[int, np.ndarray], nearest: int,
                     cos = x @ at.T
                     order = np.argsort(-cos, axis=1, kind="stable")[:, :nearest]
                     ball = np.where(np.take_along_axis(cos, order[:, :1], 1)[:, 0] >= near, order[:, 0], -1)
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "label": part["label"].to_numpy(), "dim": dim, "unit": [v.tobytes() for v in x], "near": [*order.astype("int32")], "ball": ball})
+                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "label": part["label"].to_numpy(), "dim": dim, "packed": _packed(part["vector"]), "near": [*order.astype("int32")], "ball": ball})
 
-    return vectors.mapInPandas(run, "vec_id long, label string, dim int, unit binary, near array<int>, ball int")
+    return vectors.mapInPandas(run, "vec_id long, label string, dim int, packed binary, near array<int>, ball int")
 
 
 def _spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -89,7 +105,7 @@ def _compare(link: float, shared: int):
         if not len(x_side) or not len(y_side):
             return pd.DataFrame({"vec_id": [], "n": [], "to": []}).astype("int64")
         seen = np.unique(np.concatenate([*x_side["near"], *y_side["near"]]))
-        x, y = (np.frombuffer(b"".join(s["unit"]), np.float64).reshape(len(s), -1) for s in (x_side, y_side))
+        x, y = (_unpacked(s["packed"], key[1]) for s in (x_side, y_side))
         has = [np.zeros((len(s), len(seen)), np.float32) for s in (x_side, y_side)]
         for h, s in zip(has, (x_side, y_side), strict=True):
             for r, near in enumerate(s["near"]):
