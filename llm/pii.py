@@ -103,7 +103,7 @@ def planted(documents: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     text, h = F.col("text"), F.xxhash64("text")
     slices = documents.select(F.col("text").cast("string").alias("text")).where(F.length("text") >= 2 * AROUND)
     slices = slices.select(F.xxhash64("text").alias("at"), F.expr(f"substring(text, cast(1 + pmod(xxhash64(text), length(text) - {2 * AROUND} + 1) as int), {2 * AROUND})").alias("around")).orderBy("at", "around").limit(contexts)
-    fixed = spark.createDataFrame([(40 * i + k, p) for i, p in enumerate(PHRASES) for k in range(40)], "at long, around string")
+    fixed = spark.range(40 * len(PHRASES)).select(F.col("id").alias("at"), F.element_at(F.array(*map(F.lit, PHRASES)), (F.floor(F.col("id") / 40) + 1).cast("int")).alias("around"))
     rows = slices.unionByName(fixed)
     draw = lambda k: F.xxhash64("at", "around", F.lit(k))
     pick = lambda k, *of: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in of)), (F.pmod(draw(k), F.lit(len(of))) + 1).cast("int"))
