@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 #: One crc32 remainder is held out of all label learning.
 HELD_OUT_REMAINDER = 1
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of texts that a Python worker gets at once, as a setting of Spark: workers share an executor's memory with its heap.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table; of texts, its rows are dealt out to all cores where it has fewer partitions (a file of one row group is one)."""
+    shared_dir(spark)
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
     return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
@@ -21,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset a local master (tests) gets a folder of its own below the warehouse; on a cluster
+    Python workers get smaller batches from here on, unless the session has chosen. Where the folder is unset a local master (tests) gets a folder of its own below the warehouse; on a cluster
     there is no folder that is known to be shared, so the call fails.
     """
+    if spark.conf.get(BATCH_SETTING, "") == "67108864b":  # Spark's own default, and no choice of the session's
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
