@@ -27,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     Python workers get smaller batches from here on, unless the session has chosen. Where the folder is unset a local master (tests) gets a folder of its own below the warehouse; on a cluster
     there is no folder that is known to be shared, so the call fails.
     """
-    if spark.conf.get(BATCH_SETTING, "") == "67108864b":  # Spark's own default, and no choice of the session's
+    if spark.conf.get(BATCH_SETTING) == "67108864b":  # Spark's own default, and no choice of the session's
         spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
