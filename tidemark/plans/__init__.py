@@ -1,4 +1,4 @@
 """Registered queries: the operators bound to the tables, each with its SQL where SQL can express it."""
 
-from tidemark.plans import content, monitoring, relational, reports, series, text  # noqa: F401
+from tidemark.plans import content, governance, monitoring, relational, reports, series, text  # noqa: F401
 from tidemark.plans.registry import ORACLE, QUERIES  # noqa: F401
