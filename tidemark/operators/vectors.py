@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.vectors import cosine
+from tidemark.functions.vectors import cosine, dot
 
 
 def nearest(queries: DataFrame, base: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
@@ -47,3 +47,31 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     means = df.select(label, F.posexplode(vector).alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("m"), F.count("*").alias("n"))
     ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
     return means.groupBy(label).agg(F.transform(ordered, lambda p: p["m"]).alias("centroid"), F.max("n").alias("n"))
+
+
+def _unit(v: Column) -> Column:
+    return F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
+
+
+def assigned(df: DataFrame, id_col: str, vector: str, centres: DataFrame, label: str) -> DataFrame:
+    """``id, nearest, distance``: the centre of least cosine distance, the least label where they tie. centres: ``label, centroid``, one row a cluster."""
+    known = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), F.col("centroid").alias("c")))).alias("centres"))  # clusters x components
+    each = F.transform("centres", lambda z: F.struct((1 - cosine(F.col(vector), z["c"])).alias("d"), z["label"].alias("label")))
+    return df.select(id_col, vector).crossJoin(F.broadcast(known)).select(id_col, F.array_min(each).alias("m")).select(id_col, F.col("m.label").alias("nearest"), F.col("m.d").alias("distance"))
+
+
+def silhouettes(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
+    """``id, label, silhouette`` by mean cosine distances, in linear time: a mean over a cluster is a product with its sum of unit vectors.
+
+    Points alone in their cluster, and all points of a single cluster, have none.
+    """
+    u = df.select(F.col(id_col), F.col(label).alias("label"), _unit(F.col(vector)).alias("e"))
+    parts = u.select("label", F.posexplode("e").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    sums = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("s"), F.max("n").alias("n"))
+    known = sums.agg(F.collect_list(F.struct("label", "s", "n")).alias("all"))  # clusters x components
+    own = F.filter("all", lambda z: z["label"] == F.col("label"))[0]
+    other = F.array_min(F.transform(F.filter("all", lambda z: z["label"] != F.col("label")), lambda z: 1 - dot(F.col("e"), z["s"]) / z["n"]))
+    out = u.crossJoin(F.broadcast(known)).withColumns({"o": own, "b": other}).where("o.n > 1 and b is not null")
+    out = out.withColumn("a", 1 - (dot(F.col("e"), F.col("o.s")) - 1) / (F.col("o.n") - 1))
+    score = F.when(F.col("a") < F.col("b"), 1 - F.col("a") / F.col("b")).when(F.col("a") > F.col("b"), F.col("b") / F.col("a") - 1).otherwise(0.0)
+    return out.select(id_col, F.col("label").alias(label), score.alias("silhouette"))

@@ -10,7 +10,7 @@ from tidemark.operators import dedup as D
 from tidemark.operators import text_stats as T
 from tidemark.operators import vectors as V
 from tidemark.operators.graph import components
-from tidemark.plans.registry import query, read, read_texts
+from tidemark.plans.registry import TIE, query, read, read_texts
 
 AS_OF = "2024-01-31"
 
@@ -102,6 +102,39 @@ def cluster_outliers(spark, sf):
     return out.where("d > 0.3").select("vec_id", "label", F.round("d", 4).alias("distance"))
 
 
+@query("""WITH m AS (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY 1, 2), c AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1), d AS (SELECT vec_id, c.label, 1 - list_cosine_similarity(embedding::DOUBLE[], c) AS d FROM embeddings, c)
+SELECT vec_id, CAST(min_by(label, (d, label)) AS INTEGER) AS nearest, round(min(d) + 1e-9, 3) AS distance FROM d GROUP BY 1""")
+def cluster_assignment(spark, sf):
+    e = read(spark, sf, "embeddings")
+    return V.assigned(e, "vec_id", "embedding", V.centroids(e, "label", "embedding"), "label").withColumn("distance", F.round(F.col("distance") + TIE, 3))
+
+
+@query("""WITH u AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), d AS (SELECT a.vec_id, a.label AS own, b.label AS other, avg(1 - list_cosine_similarity(a.e, b.e)) AS m FROM u a JOIN u b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3), s AS (SELECT vec_id, own, max(m) FILTER (own = other) AS a, min(m) FILTER (own <> other) AS b FROM d GROUP BY 1, 2)
+SELECT own AS label, round(avg(CASE WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END) + 1e-9, 3) AS silhouette, count(*) AS n FROM s WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1""")
+def cluster_silhouettes(spark, sf):
+    s = V.silhouettes(read(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+    return s.groupBy("label").agg(F.round(F.avg("silhouette") + TIE, 3).alias("silhouette"), F.count("*").alias("n"))
+
+
+SYNONYMS = {"the": ("a", "this"), "and": ("plus", "with"), "not": ("no",)}
+
+
+@query("SELECT conv_id, turn, array_to_string(list_transform(list_filter(string_split(lower(text), ' '), lambda w: w <> ''), lambda w: CASE w " + " ".join(f"WHEN '{k}' THEN '({' OR '.join((k, *v))})'" for k, v in SYNONYMS.items()) + " ELSE w END), ' ') AS expanded FROM conversations WHERE role = 'user'")
+def expanded_queries(spark, sf):
+    """Each word that has synonyms becomes a choice of all of them."""
+    known = F.create_map(*(F.lit(x) for k, v in SYNONYMS.items() for x in (k, f"({' OR '.join((k, *v))})")))
+    words = F.filter(F.split(F.lower("text"), " "), lambda w: w != "")
+    return read(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(known, w), w)), " ").alias("expanded"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) SELECT source, CAST(r AS INTEGER) AS rank, '- **document ' || doc_id || '** (' || lang || ', ' || n_chars || ' characters)' AS line FROM r WHERE r <= 5""")
+def source_digest(spark, sf):
+    """The lines of a listing for each source: its five longest texts."""
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    r = read(spark, sf, "documents").select("source", "doc_id", "lang", "n_chars").withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    return r.select("source", "rank", F.format_string("- **document %d** (%s, %d characters)", "doc_id", "lang", "n_chars").alias("line"))
+
+
 # -- compliance ----------------------------------------------------------------------------------------------------
 
 LEVELS = [("restricted", ["token = ", "password"]), ("confidential", [r"\+1 \([0-9]{3}\)", "@mail[0-9]"]), ("internal", ["[0-9]{1,3}([.][0-9]{1,3}){3}"])]
