@@ -24,6 +24,7 @@ def test_text_functions(spark):
     assert one(spark, X.read_minutes(F.col("t")), t="") == 0
     assert one(spark, X.flesch(F.col("t")), t="") == 50.0
     assert one(spark, X.meta_description(F.col("t"), 12), t="One two. Three four. Five.") == "One two."
+    assert one(spark, X.meta_description(F.col("t"), 12), t="Onetwothree four five. Six.") == "Onetwothree" and one(spark, X.meta_description(F.col("t")), t=None) == ""
     assert one(spark, X.clean_markup(F.col("t")), t="<p>a  <b>b</b>§</p>") == "a b"
 
 

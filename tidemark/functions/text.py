@@ -72,12 +72,10 @@ def flesch(text: Column) -> Column:
 
 
 def meta_description(text: Column, most: int = 160) -> Column:
-    """Whole sentences from the start, up to ``most`` characters."""
-    return F.aggregate(
-        sentences(text), F.struct(F.lit("").alias("text"), F.lit(True).alias("open")),
-        lambda a, s: F.when(a["open"] & (F.length(F.trim(F.concat_ws(" ", a["text"], s))) <= most), F.struct(F.trim(F.concat_ws(" ", a["text"], s)).alias("text"), F.lit(True).alias("open"))).otherwise(F.struct(a["text"].alias("text"), F.lit(False).alias("open"))),
-        lambda a: a["text"],
-    )
+    """Whole sentences from the start, up to ``most`` characters; of a first sentence that is longer, its whole words."""
+    clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    whole = F.regexp_extract(F.substring(clean, 1, most + 1), r"(?s)^(.*[.!?]) ", 1)
+    return F.when(F.length(clean) <= most, clean).when(whole != "", whole).otherwise(F.regexp_replace(F.substring(clean, 1, most), " [^ ]*$", ""))
 
 
 def mentions(text: Column) -> Column:
@@ -86,8 +84,8 @@ def mentions(text: Column) -> Column:
 
 
 def hashtags(text: Column) -> Column:
-    """Distinct ``#tags`` in lower case."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"#([A-Za-z0-9_]+)"), F.lit(1)), F.lower))
+    """Distinct ``#tags`` of 2 to 50 characters in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"#([A-Za-z0-9_]{2,50})"), F.lit(1)), F.lower))
 
 
 def links(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
 
@@ -54,12 +55,12 @@ def topic_scores(text: Column, topics: dict[str, list[str]]) -> Column:
 
 
 def summaries(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """``key, summary``: the ``n`` sentences of greatest mean word frequency, with more for early ones, in their order."""
-    s = df.select(key, F.posexplode(X.sentences(F.col(text))).alias("i", "sentence"))
-    w = s.select(key, "i", F.explode(X.words(F.col("sentence"), 4)).alias("word"))
+    """``key, summary``: the ``n`` sentences whose words are most frequent in the text, with less for late ones, in their order; earlier ones win ties."""
+    s = df.select(key, F.posexplode(X.sentences(F.trim(F.col(text)))).alias("i", "sentence"))
+    w = s.select(key, "i", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word")).where(F.col("word").rlike("^[a-z]{3,}$"))
     counts = w.groupBy(key, "word").agg(F.count("*").alias("n"))
-    mean = w.join(counts, [key, "word"]).groupBy(key, "i").agg(F.avg("n").alias("mean"))
-    score = -F.coalesce("mean", F.lit(0.0)) * F.when(F.col("i") == 0, 1.0).when(F.col("i") < 3, 0.8).otherwise(0.5)
-    per_key = s.join(mean, [key, "i"], "left").groupBy(key).agg(F.array_sort(F.collect_list(F.struct(score.alias("less"), "i", "sentence"))).alias("all"))
-    best = F.array_sort(F.transform(F.slice("all", 1, n), lambda b: F.struct(b["i"], b["sentence"].alias("s"))))
-    return per_key.select(key, F.concat_ws(" ", F.transform(best, lambda b: b["s"])).alias("summary"))
+    total = w.join(counts, [key, "word"]).groupBy(key, "i").agg(F.sum("n").alias("total"))
+    less = -F.coalesce("total", F.lit(0)) * F.when(F.col("i") == 0, 10).when(F.col("i") < 3, 8).otherwise(5)
+    best = Window.partitionBy(key).orderBy("less", "i")  # ranked before they are gathered
+    top = s.join(total, [key, "i"], "left").withColumn("less", less).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+    return top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))

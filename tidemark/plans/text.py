@@ -118,12 +118,14 @@ def quality_parts(spark, sf):
     return d.select("doc_id", F.round(30.0 * F.size(F.array_distinct("w")) / F.nullif(F.size("w"), F.lit(0)), 3).alias("variety"), F.round(F.least(F.lit(25.0), 5.0 * F.size(F.split("text", "\n"))), 3).alias("structure"), F.least(F.lit(20), F.floor(F.size("w") / 2000.0 * 20)).cast("double").alias("length_score"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT doc_id, unnest({SENTENCES.replace("(text,", "(trim(text),")}) AS sentence, generate_subscripts({SENTENCES.replace("(text,", "(trim(text),")}, 1) - 1 AS i FROM documents), v AS (SELECT doc_id, i, unnest(regexp_extract_all(lower(sentence), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM s), w AS (SELECT * FROM v WHERE regexp_full_match(word, '[a-z]{{3,}}')), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2),
+t AS (SELECT doc_id, i, sum(n) AS total FROM w JOIN c USING (doc_id, word) GROUP BY 1, 2), r AS (SELECT doc_id, i, sentence, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(total, 0) * CASE WHEN i = 0 THEN 10 WHEN i < 3 THEN 8 ELSE 5 END DESC, i) AS r FROM s LEFT JOIN t USING (doc_id, i))
+SELECT doc_id, string_agg(sentence, ' ' ORDER BY i) AS summary FROM r WHERE r <= 2 GROUP BY 1""")
 def extractive_summary(spark, sf):
     return T.summaries(_docs(spark, sf), "doc_id", "text", 2)
 
 
-@query()
+@query("""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS c FROM documents), w AS (SELECT *, regexp_extract(substr(c, 1, 161), '(?s)^(.*[.!?]) ', 1) AS w FROM c) SELECT doc_id, CASE WHEN length(c) <= 160 THEN c WHEN w <> '' THEN w ELSE regexp_replace(substr(c, 1, 160), ' [^ ]*$', '') END AS description FROM w""")
 def meta_descriptions(spark, sf):
     return _docs(spark, sf).select("doc_id", X.meta_description(F.col("text")).alias("description"))
 
