@@ -23,7 +23,7 @@ from llm.common import held_out, labelled_sample, table, written
 
 #: At most BOUND labelled rows are learned from; a token needs LEAST toxic or other uses and SURE standard errors.
 BOUND, LEAST, SURE, PRIOR, DRIFT, SIGNIFICANT, CUT = 20_000, 4, 4.0, 0.1, -0.05, 0.01, 0.7
-STEMS, CACHE = (7, 6, 5, 4), 500_000
+STEMS, CACHE = (7, 6, 5, 4), 100_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
