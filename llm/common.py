@@ -80,6 +80,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
     return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
+def of_least_hash(rows: DataFrame, n: int) -> DataFrame:
+    """The rows whose hash (column ``at``) is among the ``n`` least, one for each hash (the least); only hashes meet in one task, ``n`` of each other at most."""
+    last = rows.select("at").orderBy("at").limit(n).agg(F.max("at")).first()[0]
+    rest = [c for c in rows.columns if c != "at"]
+    return rows.where(F.col("at") <= F.lit(last)).groupBy("at").agg(F.min(F.struct(*rest)).alias("r")).select("at", "r.*")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``links`` (src, dst: long).
 

@@ -22,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import table, written
+from llm.common import of_least_hash, table, written
 from llm.spans import SPAN, digits, found, joined, kept, let, luhn
 
 KINDS = ("email", "ip", "card", "phone")
@@ -102,9 +102,9 @@ def planted(documents: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     spark = documents.sparkSession
     text, h = F.col("text"), F.xxhash64("text")
     slices = documents.select(F.col("text").cast("string").alias("text")).where(F.length("text") >= 2 * AROUND)
-    slices = slices.select(F.xxhash64("text").alias("at"), F.expr(f"substring(text, cast(1 + pmod(xxhash64(text), length(text) - {2 * AROUND} + 1) as int), {2 * AROUND})").alias("around")).orderBy("at", "around").limit(contexts)
+    slices = slices.select(F.xxhash64("text").alias("at"), F.expr(f"substring(text, cast(1 + pmod(xxhash64(text), length(text) - {2 * AROUND} + 1) as int), {2 * AROUND})").alias("around"))
     fixed = spark.range(40 * len(PHRASES)).select(F.col("id").alias("at"), F.element_at(F.array(*map(F.lit, PHRASES)), (F.floor(F.col("id") / 40) + 1).cast("int")).alias("around"))
-    rows = slices.unionByName(fixed)
+    rows = of_least_hash(slices, contexts).unionByName(fixed)
     draw = lambda k: F.xxhash64("at", "around", F.lit(k))
     pick = lambda k, *of: F.element_at(F.array(*(x if isinstance(x, Column) else F.lit(x) for x in of)), (F.pmod(draw(k), F.lit(len(of))) + 1).cast("int"))
     some = lambda k, n, low=0: F.lpad((F.pmod(draw(k), F.lit(10**n - low)) + low).cast("string"), n, "0")
