@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from llm.common import UPPER, table, written
 
-UNIT, LEAST_DOCUMENTS, RANKS, SHARD, BLOCK, TOGETHER = 1_000_000_000, 3, 200, 8192, 8, 300_000
+UNIT, LEAST_DOCUMENTS, RANKS, SHARD, BLOCK, TOGETHER, DOCUMENT = 1_000_000_000, 3, 200, 8192, 8, 500_000, 1 << 44
 #: Bytes of UTF-8 that belong to no term become blanks; A-Z are lower-cased.
 _TABLE = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -60,28 +60,36 @@ def _counted(docs: DataFrame) -> DataFrame:
     """``lang, source, term, n, df``: occurrences and documents of each term in each group, combined in the task first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, df = defaultdict(Counter), defaultdict(Counter)
+        known: dict[tuple[str, str], dict[bytes, int]] = {}  # a term's occurrences and, DOCUMENT each, its documents
 
         def rows() -> pd.DataFrame:
-            out = pd.DataFrame([(*group, term.decode("utf-8", "surrogatepass"), k, df[group][term]) for group, of in n.items() for term, k in of.items()], columns=["lang", "source", "term", "n", "df"])
-            n.clear()
-            df.clear()
-            return out
-
-        held = 0
+            columns = [[], [], [], [], []]
+            for (lang, source), of in known.items():
+                columns[0] += [lang] * len(of)
+                columns[1] += [source] * len(of)
+                columns[2] += b" ".join(of).decode("utf-8", "surrogatepass").split(" ") if of else []
+                columns[3] += [k % DOCUMENT for k in of.values()]
+                columns[4] += [k // DOCUMENT for k in of.values()]
+            known.clear()
+            return pd.DataFrame(dict(zip(("lang", "source", "term", "n", "df"), columns, strict=True)))
+
+        added = 0
         for batch in batches:
             for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
                 found = Counter(terms(text))
                 del found[b""]
-                n[lang, source].update(found)
-                df[lang, source].update(found.keys())
-                held += len(found)
-                if held > TOGETHER:
-                    held = sum(map(len, n.values()))
-                    if held > TOGETHER // 2:
+                of = known.setdefault((lang, source), {})
+                for term, k in found.items():
+                    of[term] = of.get(term, 0) + k + DOCUMENT
+                added += len(found)
+                if added > TOGETHER:
+                    held = sum(map(len, known.values()))
+                    added = held // 2  # looked at again once half as many were added
+                    if held > TOGETHER:
                         yield rows()
-                        held = 0
-        yield rows()
+                        added = 0
+        if any(known.values()):
+            yield rows()
 
     sums = docs.mapInPandas(run, "lang string, source string, term string, n long, df long").groupBy("lang", "source", "term")
     return sums.agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
