@@ -6,8 +6,10 @@ are its capacities to the two terminals. Blocks next to each other, and the near
 joined by smoothness edges whose capacity falls with their distance in the tree. The maximum flow
 separates content from boilerplate at the least total cost.
 
-Names (class, id, role) tell of boilerplate when they are a listed word as a whole; compound names ("site-footer") do so outside articles alone, and
-not if they begin with a word like "with" or "has". Neither counts for an element that holds the page's article, or most of its text where it has none.
+Names (class, id, role, itemprop) tell of boilerplate when they are a listed word as a whole. Compound names ("site-footer") do so everywhere if the word is one of
+FIRM ("comment-list", "ad-slot", "cookie-banner"), else outside articles alone; not if a word like "with" or "has" begins the name or stands before the listed word, nor if the
+name ends with a state ("comments-open"). What is named for readers' remarks holds no article: an ``article`` that is, or stands in, a comment isn't one. Names don't count for an
+element that holds the page's article, nor for one with most of the text of a page without articles unless it is named for remarks, adverts or notices (PASSING).
 """
 
 from __future__ import annotations
@@ -38,34 +40,43 @@ WORDS = frozenset(
     "notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments disqus reply replies respond form login search pagination pager widget toolbar skip "
     "contentinfo complementary copyright disclaimer byline tags".split()
 )
+#: Words for what readers wrote; words for what is laid into a page; and words that count in compound names inside articles too.
+REMARKS = frozenset("comment comments disqus reply replies respond".split())
+PASSING = REMARKS | frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices newsletter subscribe subscription signup related recommended recommendations".split())
+FIRM = PASSING - {"related", "recommended"} | frozenset("banner nav navigation menu breadcrumb breadcrumbs sidebar footer pagination".split())
 #: Costs: of evidence from an ancestor, an article (and of standing outside the page's), a block's kind, links, length, and sentences; and of smoothness.
 ANCESTOR, ARTICLE, OUTSIDE, BODY_TEXT, LINKS, LENGTH, SENTENCE, PRIOR, SMOOTH = 9.0, 4.0, 4.0, 1.0, 3.0, 1.0, 0.5, 0.3, 0.6
 #: A compound name that begins so tells of the page around, not of the element.
 MODIFIERS = frozenset("with without has have no not is in on hide hidden show open closed after before".split())
+#: What "related" or "recommended" in a compound must stand with to name a list of other pages.
+LISTINGS = frozenset("post posts article articles story stories news link links item items product products entry entries reading videos".split())
+STATES = frozenset("open closed on off enabled disabled allowed".split())
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Element:
-    """A block-level element: number of its parent (-1: none), tag, whole and compound names that tell of boilerplate, whether in an article."""
+    """A block-level element: number of its parent (-1: none), tag, whole and compound listed words of its names, whether in an article or among readers' remarks."""
 
-    __slots__ = ("parent", "depth", "tag", "names", "compounds", "frame_tag", "article", "in_article", "text", "holds", "frame")
+    __slots__ = ("parent", "depth", "tag", "names", "compounds", "frame_tag", "article", "in_article", "remark", "text", "holds", "frame")
 
-    def __init__(self, parent: int, depth: int, tag: str, names: int, compounds: int, frame_tag: bool, article: bool, in_article: bool):
-        self.parent, self.depth, self.tag, self.names, self.compounds, self.frame_tag, self.article, self.in_article = parent, depth, tag, names, compounds, frame_tag, article, in_article
+    def __init__(self, parent: int, depth: int, tag: str, names: set[str], compounds: set[str], frame_tag: bool, article: bool, in_article: bool, remark: bool):
+        self.parent, self.depth, self.tag, self.names, self.compounds, self.frame_tag, self.article, self.in_article, self.remark = parent, depth, tag, names, compounds, frame_tag, article, in_article, remark
         self.text, self.holds, self.frame = 0, article, 0.0
 
 
-def named(attrs: list) -> tuple[int, int]:
-    """How many of an element's names are a listed word, and how many hold one in a compound."""
-    whole = compound = 0
+def named(attrs: list) -> tuple[set[str], set[str]]:
+    """The listed words that an element's names are, and those that its names hold in a compound."""
+    whole, compound = set(), set()
     for k, v in attrs:
-        if k in ("class", "id", "role") and v:
+        if k in ("class", "id", "role", "itemprop") and v:
             for name in v.split():
                 parts = [x.lower() for x in _PARTS.findall(name)]
                 if name.lower() in WORDS:
-                    whole += 1
-                elif len(parts) > 1 and parts[0] not in MODIFIERS and not WORDS.isdisjoint(parts):
-                    compound += 1
+                    whole.add(name.lower())
+                elif len(parts) > 1 and parts[0] not in MODIFIERS and parts[-1] not in STATES:
+                    compound.update(x for before, x in zip(["", *parts], parts, strict=False) if x in WORDS and before not in MODIFIERS)
+                    if compound & {"related", "recommended"} and not LISTINGS.isdisjoint(parts):
+                        compound.add("recommendations")
     return whole, compound
 
 
@@ -75,7 +86,7 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, int]] = []
-        self.elements = [Element(-1, 0, "", 0, 0, False, False, False)]
+        self.elements = [Element(-1, 0, "", set(), set(), False, False, False, False)]
         self.stack: list[tuple[str, int]] = []  # tag, number of the nearest block-level element
         self.open: Counter[str] = Counter()
         self.text: list[str] = []
@@ -104,10 +115,13 @@ class Blocks(HTMLParser):
         at = self.stack[-1][1] if self.stack else 0
         if tag not in INLINE:
             above = self.elements[at]
-            whole, compound = named(attrs) if tag not in ("html", "body", "main", "article") else (0, 0)
-            article = tag in ("article", "main") or ("role", "main") in attrs
+            whole, compound = named(attrs) if tag not in ("html", "body", "main") else (set(), set())
+            remark = above.remark or not REMARKS.isdisjoint(whole | compound)
+            article = (tag in ("article", "main") or ("role", "main") in attrs) and not remark
+            if article:
+                whole, compound = set(), set()
             header = tag == "header" and above.in_article
-            self.elements.append(Element(at, above.depth + 1, tag, whole, compound, tag in FRAME and not header, article, above.in_article or article))
+            self.elements.append(Element(at, above.depth + 1, tag, whole, compound, tag in FRAME and not header, article, (above.in_article or article) and not remark, remark))
             at = len(self.elements) - 1
         self.stack.append((tag, at))
         self.open[tag] += 1
@@ -146,8 +160,10 @@ def weigh(elements: list[Element], blocks: list[tuple[str, int, int]]) -> None:
     total, articles = elements[0].text, elements[0].holds
     for e in elements[1:]:
         above = elements[e.parent]
-        main = e.holds or (not articles and 2 * e.text > total)
-        e.frame = above.frame + (0.0 if main else float(e.names > 0) + e.frame_tag + (0.0 if e.in_article else 0.5 * (e.compounds > 0)))
+        told = e.names | e.compounds
+        main = e.holds or (not articles and 2 * e.text > total and PASSING.isdisjoint(told))
+        firm, loose = bool(e.names) or not FIRM.isdisjoint(e.compounds), bool(e.compounds) and not e.in_article
+        e.frame = above.frame + (0.0 if main else float(firm) + e.frame_tag + 0.5 * (loose and not firm))
 
 
 def content_margin(block: tuple[str, int, int], element: Element, outside: float = 0.0) -> float:

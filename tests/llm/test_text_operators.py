@@ -478,6 +478,19 @@ def test_pages_of_other_forms(page, expect):
     assert html_extract.main_text(page) == expect
 
 
+@pytest.mark.parametrize("page,expect", [
+    (f"<body><div id='content'><p>{LONG}</p></div><div class='comments'>" + f"<p>A reader wrote this. {LONG}</p>" * 4 + "</div></body>", LONG),
+    (f"<body><article><p>{LONG}</p></article><section class='comments-area'>" + f"<article class='comment-body'><p>I like it. {LONG}</p></article>" * 3 + "</section></body>", LONG),
+    (f"<body><div class='post'><p>{LONG}</p></div><section class='comments-area'><article class='comment-body'><p>I like it. {LONG}</p></article></section></body>", LONG),
+    (f"<article><p>{LONG}</p><ol class='comment-list'><li>First! {LONG}</li></ol><div class='ad-slot'><p>Buy it now. {LONG}</p></div><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+    (f"<main><div class='cookie-banner'><p>We use cookies. {LONG}</p></div><p>{LONG}</p><div class='newsletter-signup'><p>Get our mail. {LONG}</p></div><ul class='related-posts'><li>{LONG}</li></ul></main>", LONG),
+    (f"<body><div class='page-with-comments comments-open'><article class='post has-ads comments-closed'><h1 class='article-header'>Title here.</h1><p>{LONG}</p></article></div></body>", f"Title here. {LONG}"),
+    (f"<article><p>{LONG}</p><div itemprop='comment'><p>Well said. {LONG}</p></div></article>", LONG),
+])
+def test_remarks_adverts_and_notices_go(page, expect):
+    assert html_extract.main_text(page) == expect
+
+
 def test_deep_pages_take_linear_memory():
     import tracemalloc
 
