@@ -24,8 +24,9 @@ def brute(text, names):
     return {s for s in spans if not any((a, b) != (s[0], s[1]) for a, b in around.get(s[0], ()) if a <= s[0] and s[1] <= b)}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_dictionary_spans(spark, seed):
+@pytest.mark.parametrize(("seed", "known"), [(1, 100_000), (2, 3)])
+def test_dictionary_spans(spark, monkeypatch, seed, known):
+    monkeypatch.setattr(entities, "KNOWN", known)
     rng = random.Random(seed)
     names = {" ".join(rng.choices(WORDS, k=rng.randint(1, 4))).lower() for _ in range(40)}
     texts = [(k, "".join(rng.choice(WORDS).title() + rng.choice([" ", "-", ", ", ".  ", "\n"]) for _ in range(rng.randint(0, 60)))) for k in range(60)]
@@ -44,7 +45,9 @@ def test_dictionary_of_no_names(spark):
     assert entities.dictionary_spans(df.limit(0), "id", "body", spark.createDataFrame([("some", "T", 1.0)], empty.schema)).count() == 0
 
 
-def test_relations(spark):
+@pytest.mark.parametrize("known", [100_000, 0])
+def test_relations(spark, monkeypatch, known):
+    monkeypatch.setattr(entities, "KNOWN", known)
     names = spark.createDataFrame([("Ada Byron", "PERSON", 0.9), ("Engine Works", "ORG", 0.95), ("Analytical Engine", "PRODUCT", 0.9), ("Engine", "PRODUCT", 0.5)], "name string, type string, confidence double")
     phrases = spark.createDataFrame([("works at", "works_at", 0.85), ("works", "does", 0.7), ("built", "develops", 0.75)], names.schema)
     texts = [
@@ -86,3 +89,11 @@ def test_dates(spark):
     assert [(r["d"]["value"], r["d"]["sure"]) for r in rows] == [
         ("march 5, 2024", 0.95), ("sep 2023", 0.85), ("2024-01-31", 0.9), ("3/4/24", 0.85), ("q3 2022", 0.9), ("last week", 0.7), ("3 days ago", 0.7), ("yesterday", 0.6),
     ]
+
+
+def test_sentences_by_place(spark):
+    df = spark.createDataFrame([("a", "One two. Three!  Four"), ("b", None), ("c", ""), ("d", "No end"), ("e", "Ends. ")], "id string, text string")
+    sentences = entities.sentence_spans(df, "id", "text")
+    assert sorted((r["id"], r["start"], r["end"], r["sentence"]) for r in sentences.collect()) == [("a", 0, 8, "One two."), ("a", 9, 15, "Three!"), ("a", 17, 21, "Four"), ("d", 0, 6, "No end"), ("e", 0, 5, "Ends.")]
+    spans = spark.createDataFrame([("a", 0, "w"), ("a", 8, "x"), ("a", 9, "y"), ("a", 20, "z"), ("d", 3, "v")], "id string, start long, what string")
+    assert sorted((r["what"], r["sentence_start"]) for r in entities.in_sentences(spans, sentences, "id").collect()) == [("v", 0), ("w", 0), ("x", 0), ("y", 9), ("z", 17)]

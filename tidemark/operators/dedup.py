@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.graph import checkpoints
+
+#: Vectors of a word in one block.
+BLOCK = 512
+
 
 def groups_by_key(df: DataFrame, key: Column, id_col: str, least: int = 2) -> DataFrame:
     """``key, leader, n`` of the rows that share a key."""
@@ -29,21 +36,49 @@ def similar_titles(df: DataFrame, id_col: str, title: str, block: Column, least:
     return x.join(y, "block").where("a < b").select("a", "b", ratio.alias("ratio")).where(F.col("ratio") >= least)
 
 
+def _dot(h: pd.Series, w: pd.Series, g: pd.Series, x: pd.Series) -> pd.Series:
+    """Products of sparse vectors, each given as words' hashes in order and their weights."""
+    out = np.empty(len(h))
+    for k, (hk, wk, gk, xk) in enumerate(zip(h, w, g, x, strict=True)):
+        at = np.searchsorted(gk, hk)
+        at[at == len(gk)] = 0
+        same = gk[at] == hk
+        out[k] = wk[same] @ xk[at[same]]
+    return pd.Series(out)
+
+
 def cosine_links(vectors: DataFrame, key: str, least: float) -> DataFrame:
     """``a, b, cosine`` (a < b) of all pairs of unit vectors (``key, word, weight``) whose cosine is ``least`` or more.
 
-    Words are in one order, the rarest first. What lies behind the prefix of a vector has a norm below ``least``, so the first
-    word that two linked vectors share lies in both prefixes: pairs that share none are never made. Candidates are checked on whole vectors.
+    Words are in one order, the rarest first; ``behind`` of a word is the squared norm of a vector from that word on. Of the first word that two linked vectors
+    share, all that they share lies at or behind it, so the product of both ``behind`` is ``least`` squared or more there, and only words whose own
+    ``behind`` is that large are listed. What two vectors share beyond listed words lies behind the last listed one that they share, and in one of them beyond its list: pairs whose products of
+    listed words cannot reach ``least`` with that are dropped. Lists of a word are dealt out in blocks of BLOCK vectors, block against block, so a common word is many tasks. Vectors are written once
+    (a checkpoint) and whole vectors are met by pairs that may link alone. Words are told apart by a 64-bit hash.
     """
-    v = vectors.select(F.col(key).alias("k"), "word", "weight")
-    rare = v.groupBy("word").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("k").orderBy(F.desc("df"), F.desc("word"))
-    behind = F.sum(F.col("weight") * F.col("weight")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    prefix = v.join(rare.where("df > 1"), "word").withColumn("behind", behind).where(F.col("behind") >= least * least - 1e-9).select("k", "word")
-    pairs = prefix.withColumnRenamed("k", "a").join(prefix.withColumnRenamed("k", "b"), "word").where("a < b").select("a", "b").distinct()
-    left = pairs.join(v.withColumnRenamed("k", "a"), "a")
-    right = v.select(F.col("k").alias("b"), "word", F.col("weight").alias("other"))
-    return left.join(right, ["b", "word"]).groupBy("a", "b").agg(F.sum(F.col("weight") * F.col("other")).alias("cosine")).where(F.col("cosine") >= least)
+    checkpoints(vectors.sparkSession)
+    bound = least * least - 1e-9
+    v = vectors.select(F.col(key).alias("k"), F.xxhash64("word").alias("h"), "weight").checkpoint()
+    rare = v.groupBy("h").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("k").orderBy(F.desc("df"), F.desc("h"))
+    square = F.col("weight") * F.col("weight")
+    listed = v.join(rare.where("df > 1"), "h").withColumn("behind", F.sum(square).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("behind") >= bound)
+    listed = listed.withColumn("tail", F.min(F.col("behind") - square).over(Window.partitionBy("k"))).select("k", "h", "weight", "behind", "tail").checkpoint()
+    blocks = listed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = listed.join(blocks, "h").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = dealt.select("h", F.col("block").alias("x"), every.alias("y"), F.col("k").alias("a"), F.col("weight").alias("wa"), F.col("behind").alias("pa"), F.col("tail").alias("ta"))
+    right = dealt.select("h", every.alias("x"), F.col("block").alias("y"), F.col("k").alias("b"), F.col("weight").alias("wb"), F.col("behind").alias("pb"), F.col("tail").alias("tb"))
+    shared = left.join(right, ["h", "x", "y"]).where("a < b").groupBy("a", "b").agg(
+        F.max(F.col("pa") * F.col("pb")).alias("first"), F.sum(F.col("wa") * F.col("wb")).alias("s"),
+        F.min(F.col("pa") - F.col("wa") * F.col("wa")).alias("ra"), F.min(F.col("pb") - F.col("wb") * F.col("wb")).alias("rb"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    rest = F.sqrt(F.greatest(F.lit(0.0), F.least("ra", "ta") * F.col("rb"), F.least("rb", "tb") * F.col("ra")))
+    pairs = shared.where((F.col("first") >= bound) & (F.col("s") + rest >= least - 1e-9)).select("a", "b")
+    ordered = F.array_sort(F.collect_list(F.struct("h", "weight")))
+    whole = v.groupBy("k").agg(ordered.alias("v")).select("k", F.col("v.h").alias("h"), F.col("v.weight").alias("w"))
+    met = pairs.join(whole.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa")), "a").join(whole.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb")), "b")
+    product = F.pandas_udf(_dot, "double")
+    return met.select("a", "b", product("ha", "wa", "hb", "wb").alias("cosine")).where(F.col("cosine") >= least)
 
 
 def merged(df: DataFrame, group: str, id_col: str, text: str, number: str) -> DataFrame:

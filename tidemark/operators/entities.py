@@ -1,12 +1,13 @@
 """Dictionary entities with their places, and relations between them.
 
-A dictionary is a table, so it may have any size: names and texts meet on word n-grams in an equi-join whose strategy is Spark's to choose. Sentences are found
-by place in one window over a document's spans, without a range join.
+A dictionary is a table, so it may have any size: a small one is sent to the tasks, another meets the texts on word n-grams in an equi-join. Each match carries the start
+of its sentence; other spans find theirs by place, in one window over a document's spans without a range join.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.graph import checkpoints
+
+#: A dictionary of so many names, of so many characters each at most, is sent to the tasks.
+KNOWN, LONGEST = 100_000, 200
 #: Letters and digits; marks and everything else part words.
 WORD = re.compile(r"[^\W_]+")
 SENTENCE_END = re.compile(r"[.!?]\s+")
@@ -21,30 +26,63 @@ SENTENCE_END = re.compile(r"[.!?]\s+")
 BETWEEN, TOGETHER = 0.6, 0.4
 
 
-def _grams(df: DataFrame, key: str, text: str, sizes: list[int], longest: int) -> DataFrame:
-    """``key, start, end, gram``: all runs of as many words as ``sizes`` has, of at most ``longest`` characters, in lower case, with their places."""
+def _normal(name: str):
+    return F.array_join(F.regexp_extract_all(F.lower(name), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+
+
+def _dictionary(dictionary: DataFrame, role: int) -> DataFrame:
+    """``name, role, type, confidence``, one row for each name that is alike: the most certain, then the least type."""
+    names = dictionary.select(_normal("name").alias("name"), "type", F.col("confidence").cast("double").alias("confidence")).where("name <> ''")
+    names = names.groupBy("name").agg(F.min(F.struct((-F.col("confidence")).alias("less"), "type")).alias("r"))
+    return names.select("name", F.lit(role).alias("role"), "r.type", (-F.col("r.less")).alias("confidence"))
+
+
+def _grams(df: DataFrame, key: str, text: str, sizes: list[int], longest: int, known: set[str] | None) -> DataFrame:
+    """``key, start, end, sentence_start, name``: runs of as many words as ``sizes`` has, of at most ``longest`` characters, in lower case; of a known dictionary its names alone."""
     key_type = dict(df.dtypes)[key]
+    shared = None
+    if known is not None:
+        begins: dict[str, set[int]] = {}
+        for name in known:
+            first, *rest = name.split(" ")
+            begins.setdefault(first, set()).add(len(rest) + 1)
+        shared = df.sparkSession.sparkContext.broadcast((known, {k: sorted(v) for k, v in begins.items()}))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, begins = shared.value if shared else (None, None)
         for batch in batches:
+            rows = []
             for k, value in zip(batch["k"], batch["t"], strict=True):
+                sentences = [0, *(m.end() for m in SENTENCE_END.finditer(value or ""))]
                 words = [(m.start(), m.end(), m.group().lower()) for m in WORD.finditer(value or "")]
-                rows = []
-                for n in sizes:
-                    for i in range(len(words) - n + 1):
-                        gram = words[i][2] if n == 1 else " ".join(w[2] for w in words[i : i + n])
-                        if len(gram) <= longest:
-                            rows.append((words[i][0], words[i + n - 1][1], gram))
-                if rows:
-                    out = pd.DataFrame(rows, columns=["start", "end", "gram"])
-                    out.insert(0, "key", pd.Series([k] * len(out), dtype="Int64" if key_type in ("bigint", "int") else "object"))
-                    yield out
+                for i, (start, _, word) in enumerate(words):
+                    for n in sizes if begins is None else begins.get(word, ()):
+                        if i + n <= len(words):
+                            name = word if n == 1 else " ".join(w[2] for w in words[i : i + n])
+                            if len(name) <= longest and (known is None or name in known):
+                                rows.append((k, start, words[i + n - 1][1], sentences[bisect_right(sentences, start) - 1], name))
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=["key", "start", "end", "sentence_start", "name"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["key", "start", "end", "sentence_start", "name"])
 
-    return df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(run, f"key {key_type}, start long, end long, gram string")
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).mapInPandas(run, f"key {key_type}, start long, end long, sentence_start long, name string")
 
 
-def _normal(name: str):
-    return F.array_join(F.regexp_extract_all(F.lower(name), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), " ")
+def _matches(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """``key, role, start, end, sentence_start, name, type, confidence``; within a role the longest match wins.
+
+    A dictionary of KNOWN names or fewer is sent to the tasks, which keep its names alone; any other is joined on the word n-grams of the texts.
+    """
+    names = names.checkpoint()
+    shape = names.agg(F.count("*").alias("n"), F.collect_set(F.size(F.split("name", " "))).alias("sizes"), F.max(F.length("name")).alias("longest")).first()  # a few numbers: lengths of names in words
+    few = shape["n"] <= KNOWN and (shape["longest"] or 0) <= LONGEST
+    known = {r["name"] for r in names.select("name").distinct().collect()} if few else None
+    found = _grams(df, key, text, sorted(shape["sizes"] or []), shape["longest"] or 0, known)
+    found = found.join(F.broadcast(names) if few else names, "name").distinct()
+    before = Window.partitionBy("key", "role").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("reach", F.max("end").over(before)).where("reach is null or reach < end").drop("reach")
 
 
 def dictionary_spans(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
@@ -52,15 +90,11 @@ def dictionary_spans(df: DataFrame, key: str, text: str, dictionary: DataFrame)
 
     dictionary: ``name, type, confidence``, any number of rows; names match as whole words whatever their case and the marks between words, and names that are
     alike are one (the most certain, then the least type). Places are code points from 0, the end exclusive. The longest match wins: a match within
-    another is dropped; two that overlap otherwise both stay. Null and empty texts and names match nothing; rows that repeat a key are matched each.
+    another is dropped; two that overlap otherwise both stay. Null and empty texts and names match nothing, and rows without a key have none; of rows that repeat a key and a
+    text each match is one.
     """
-    names = dictionary.select(_normal("name").alias("name"), "type", F.col("confidence").cast("double").alias("confidence")).where("name <> ''")
-    names = names.groupBy("name").agg(F.min(F.struct((-F.col("confidence")).alias("less"), "type")).alias("r")).select("name", "r.type", (-F.col("r.less")).alias("confidence"))
-    shape = names.agg(F.collect_set(F.size(F.split("name", " "))).alias("sizes"), F.max(F.length("name")).alias("longest")).first()  # a few numbers: lengths of names in words
-    found = _grams(df, key, text, sorted(shape["sizes"] or []), shape["longest"] or 0).withColumnRenamed("gram", "name").join(names, "name")
-    before = Window.partitionBy("key").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
-    outer = found.distinct().withColumn("reach", F.max("end").over(before)).where("reach is null or reach < end")
-    return outer.select(F.col("key").alias(key), "start", "end", "name", "type", "confidence")
+    checkpoints(df.sparkSession)
+    return _matches(df, key, text, _dictionary(dictionary, 0)).select(F.col("key").alias(key), "start", "end", "name", "type", "confidence")
 
 
 def sentence_spans(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -97,10 +131,10 @@ def relations(df: DataFrame, key: str, text: str, dictionary: DataFrame, phrases
     a stretch of below ten characters; one that stands elsewhere between counts BETWEEN, and none TOGETHER. Of equal triples of a text the most certain stays, of
     those the first.
     """
-    sentences = sentence_spans(df, key, text)
-    names = in_sentences(dictionary_spans(df, key, text, dictionary), sentences, key)
-    first = names.groupBy(key, "sentence_start", "name").agg(F.min(F.struct("start", "end", "type")).alias("s"))
-    words = in_sentences(dictionary_spans(df, key, text, phrases), sentences, key)
+    checkpoints(df.sparkSession)
+    both = _matches(df, key, text, _dictionary(dictionary, 0).unionByName(_dictionary(phrases, 1))).withColumnRenamed("key", key).checkpoint()
+    first = both.where("role = 0").groupBy(key, "sentence_start", "name").agg(F.min(F.struct("start", "end", "type")).alias("s"))
+    words = both.where("role = 1")
     side = lambda p: first.select(key, "sentence_start", F.col("name").alias(f"{p}_name"), *(F.col(f"s.{c}").alias(f"{p}_{c}") for c in ("start", "end", "type")))
     pairs = side("a").join(side("b"), [key, "sentence_start"]).where("a_start < b_start and a_end <= b_start")
     said = words.select(F.col(key).alias("_key"), F.col("sentence_start").alias("_sentence"), F.col("start").alias("w_start"), F.col("end").alias("w_end"), F.length("name").alias("size"), F.col("type").alias("relation"), "confidence")

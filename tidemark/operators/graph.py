@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _checkpoints(spark: SparkSession) -> None:
+def checkpoints(spark: SparkSession) -> None:
     """Checkpoints go to the folder that ``spark.checkpoint.dir`` names. Unset, a local master (tests) uses one below the warehouse; on a cluster no folder is known to be shared, so the call fails."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -24,7 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round gives every node the least label of its neighbours and then that label's own label, until none changes; paths shrink by half
     a round. Labels are checkpointed, which needs ``spark.checkpoint.dir`` on a cluster.
     """
-    _checkpoints(links.sparkSession)
+    checkpoints(links.sparkSession)
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     label = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")).checkpoint()
@@ -44,7 +44,7 @@ def paths(links: DataFrame, pairs: DataFrame, depth: int, a: str = "a", b: str =
     A step goes on only where the end can still be reached in the steps that are left, which is worked out backwards first, so no dead end is
     carried along. Pairs of a node with itself, and null nodes, have none; repeated links and pairs are one.
     """
-    _checkpoints(links.sparkSession)
+    checkpoints(links.sparkSession)
     g = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     g = g.unionByName(g.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
     wanted = pairs.select("start", "end").where("start <> end").distinct()
