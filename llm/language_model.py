@@ -17,6 +17,7 @@ An n-gram is known by a 64-bit hash of 63-bit word hashes (of 10 billion differe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from llm.common import UPPER, discard, table, written
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ORDER, LEAST, ALPHA, HOT, SAMPLE_ONE_IN, CACHE, TOGETHER = 3, 1, 0.4, 1 << 18, 32, 200_000, 1 << 16
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -113,18 +115,17 @@ def combined(text: np.ndarray, key: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
 class Places:
     """Places of keys in a sorted list, by a table of their leading bits; what shares a slot there is searched for."""
 
-    BITS = 20
-
-    def __init__(self, keys: np.ndarray):
-        self.keys, self.place = keys, np.full(1 << self.BITS, -1, np.int32)
+    def __init__(self, keys: np.ndarray, bits: int = 20):
+        self.bits = bits
+        self.keys, self.place = keys, np.full(1 << bits, -1, np.int32)
         slots = self._slots(keys)
         self.place[slots[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
-        self.shared = np.bincount(slots, minlength=1 << self.BITS) > 1
-        self.held = np.zeros(1 << self.BITS, np.int64)
+        self.shared = np.bincount(slots, minlength=1 << bits) > 1
+        self.held = np.zeros(1 << bits, np.int64)
         self.held[slots[::-1]] = keys[::-1]
 
     def _slots(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (keys.view(np.uint64) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         """-1 where absent."""
@@ -143,8 +144,8 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
 
 
-def _commonest(docs: DataFrame, order: int, most: int) -> np.ndarray:
-    """The keys, sorted, of the ``most`` commonest n-grams of the sampled texts."""
+def _commonest(docs: DataFrame, order: int, most: int, by: str = "text") -> np.ndarray:
+    """The keys, sorted, of the ``most`` commonest n-grams of the sampled texts (sampled by their own hash, or that of another column)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -152,7 +153,7 @@ def _commonest(docs: DataFrame, order: int, most: int) -> np.ndarray:
             key, n = np.unique(weighted(*words.of(*texts), order)[1], return_counts=True)
             yield pd.DataFrame({"gram": key, "n": n})
 
-    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0)
+    picked = docs.where(F.pmod(F.xxhash64(by), F.lit(SAMPLE_ONE_IN)) == 0)
     counts = picked.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
     return np.sort(counts.orderBy(F.desc("n"), "gram").limit(most).toPandas()["gram"].to_numpy(np.int64))
 
@@ -262,35 +263,117 @@ def _open_scores(docs: DataFrame, counts: DataFrame, tokens: int, order: int, le
 def backoff_scores(documents: DataFrame, corpus: DataFrame | None = None, order: int = ORDER, least: int = LEAST, alpha: float = ALPHA) -> DataFrame:
     """``doc_id, n_words, score`` for every id of documents, under the counts of ``corpus`` (documents themselves if there is none).
 
+    With ``least`` above 1 and no other corpus there is ``n_backed`` too: how often words step to a shorter context.
+
     An id's rows are summed, those with a null id too. Null and empty texts have no words and score 0. A word has the context that the text gives it: none
     for the first. A word that the corpus lacks counts as one that it has once. Columns other than ``doc_id`` and ``text`` aren't read. Empty tables give none.
     """
     docs = _texts(documents)
-    if corpus is None and least == 1:
-        return _closed_scores(docs, order)
-    counts = written(ngram_counts(documents if corpus is None else corpus, order))
-    tokens = _hot_counts(_texts(documents if corpus is None else corpus), 1, np.zeros(0, np.int64))[1]
+    if corpus is None:
+        return _closed_scores(docs, order) if least == 1 else _returned_scores(documents, order, least, alpha)
+    counts = written(ngram_counts(corpus, order))
+    tokens = _hot_counts(_texts(corpus), 1, np.zeros(0, np.int64))[1]
     return _open_scores(docs, counts, tokens, order, least, alpha)
 
 
-#: The query's order; see the README on order 3.
-QUERY_ORDER = 2
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes the shuffle files of each written table once that is written."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
+def _repeated(docs: DataFrame, n: int, keys: np.ndarray, least: int) -> DataFrame:
+    """``doc, gram, count``: each document's n-grams of ``n`` words that occur ``least`` times or more in all texts and aren't among ``keys``."""
+    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, places = Words(), Places(shared.value)
+        for docs, texts in together(batches):
+            w, sizes = words.of(*texts)
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            key = grams(w, n)
+            inside = text[: len(key)] == text[n - 1 :][: len(key)]
+            inside[inside] = places.of(key[inside]) < 0
+            yield pd.DataFrame({"gram": key[inside], "doc": np.array(docs, np.int64)[text[: len(key)][inside]]})
+
+    dealt = docs.mapInPandas(run, "gram long not null, doc long not null").repartition("gram")
+    counted = dealt.withColumn("count", F.expr("count(*) OVER (PARTITION BY gram)")).where(F.col("count") >= least)
+    return counted.select("doc", "gram", "count")
+
+
+def _returned_scores(documents: DataFrame, order: int, least: int, alpha: float) -> DataFrame:
+    """Scores of texts under their own counts where n-grams of fewer than ``least`` occurrences aren't counted, so that words back off.
+
+    One order after the other, n-grams are exploded, dealt out by hash and counted; those that occur often enough go back to their documents with their counts,
+    all others are known by their absence. Then each document's words are scored with the counts that it holds.
+    """
+    docs = _texts(documents)
+    docs = docs.withColumn("key", F.coalesce("doc", F.xxhash64("text")))  # rows without an id are counted like others
+    keyed = docs.select(F.col("key").alias("doc"), "text")
+    keys = _commonest(keyed, order, HOT, "doc")
+    counts, tokens = _hot_counts(keyed, order, keys)
+    with _shuffles_cleaned(documents.sparkSession):
+        levels = [written(_repeated(keyed, n, keys, least if n > 1 else 2)) for n in range(order, 0, -1)]
+    every = levels[0]
+    for level in levels[1:]:
+        every = every.unionByName(level)
+    held = every.groupBy(F.col("doc").alias("_key")).agg(F.collect_set(F.struct("gram", "count")).alias("held"))  # a document's own n-grams at most
+    shared = docs.sparkSession.sparkContext.broadcast((keys, np.maximum(counts, 1)))
+    absent = 0 if least > 1 else 1  # how often an n-gram that nothing is known of occurs, as far as it counts
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, places, hot = Words(), Places(shared.value[0]), shared.value[1]
+        for batch in batches:
+            out = []
+            for doc, text, grams_, counts_ in zip(batch["doc"].astype("Int64"), batch["text"], batch["grams"], batch["counts"], strict=True):
+                w = words.of(text)[0]
+                own = Places(np.asarray(grams_, np.int64), bits=8) if grams_ is not None else None
+                score, before, backed = np.full(len(w), -np.log(max(1, tokens))), None, 0
+                for n in range(1, min(order, len(w)) + 1):
+                    key = grams(w, n)
+                    at = places.of(key)
+                    c = np.where(at >= 0, hot[at] if len(hot) else 0, 1 if n == 1 else absent)
+                    if own is not None:
+                        mine = own.of(key)
+                        c = np.where((at < 0) & (mine >= 0), np.asarray(counts_, np.int64)[mine], c)
+                    if n == 1:
+                        score += np.log(c)
+                    else:
+                        seen = c >= max(1, least)
+                        backed += int((~seen).sum())
+                        score[n - 1 :] = np.where(seen, np.log(np.maximum(c, 1)) - np.log(np.maximum(before[: len(c)], 1)), np.log(alpha) + score[n - 1 :])
+                    before = c
+                out.append((doc, len(w), float(score.sum()), backed))
+            yield pd.DataFrame(out, columns=["doc_id", "n", "part", "backed"]).astype({"doc_id": "Int64"})
+
+    lists = held.select("_key", F.array_sort("held").alias("held")).select("_key", F.col("held.gram").alias("grams"), F.col("held.count").alias("counts"))
+    scored = docs.join(lists, F.col("key") == F.col("_key"), "left").select("doc", "text", "grams", "counts").mapInPandas(run, "doc_id long, n long, part double, backed long")
+    out = written(scored.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("part").alias("score"), F.sum("backed").alias("n_backed")))
+    discard(*levels)
+    return out
+
+
+#: The query's order and the least number of occurrences that count.
+QUERY_ORDER, QUERY_LEAST = 3, 2
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id, n_words, score`` (to three decimals) of all documents under their own counts."""
-    scores = backoff_scores(table(spark, sf_dir, "documents"), order=QUERY_ORDER)
-    return scores.select("doc_id", "n_words", F.round("score", 3).alias("score"))
+    """``doc_id, n_words, n_backed, score`` (to three decimals) of all documents under their own counts: order 3, n-grams from two occurrences on; ``n_backed`` is how often the scores step to a shorter context."""
+    scores = backoff_scores(table(spark, sf_dir, "documents"), order=QUERY_ORDER, least=QUERY_LEAST)
+    return scores.select("doc_id", "n_words", "n_backed", F.round("score", 3).alias("score"))
 
 
 ORACLE_OP8 = r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-u AS (SELECT w, count(*) AS c FROM (SELECT unnest(w) AS w FROM d) GROUP BY 1),
-p AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d),
-b AS (SELECT doc_id, w[i] AS a, w[i + 1] AS b FROM p),
-c AS (SELECT a, b, count(*) AS c FROM b GROUP BY 1, 2),
-s AS (SELECT doc_id, sum(ln(c.c) - ln(u.c)) AS s FROM b JOIN c USING (a, b) JOIN u ON u.w = b.a GROUP BY 1),
-f AS (SELECT doc_id, sum(ln(u.c) - ln((SELECT sum(len(w)) FROM d))) AS s FROM d JOIN u ON u.w = d.w[1] WHERE len(d.w) > 0 GROUP BY 1),
-n AS (SELECT doc_id, sum(len(w)) AS n FROM d GROUP BY 1)
-SELECT doc_id, CAST(n AS BIGINT) AS n_words, round(coalesce(s.s, 0) + coalesce(f.s, 0), 3) AS score FROM n LEFT JOIN s USING (doc_id) LEFT JOIN f USING (doc_id)
+p AS (SELECT * FROM (SELECT doc_id, unnest(w) AS c, unnest(list_prepend(NULL, w[: -2])) AS b, unnest(list_prepend(NULL, list_prepend(NULL, w[: -3]))) AS a FROM d) WHERE c IS NOT NULL),
+x AS (SELECT *, count(*) OVER (PARTITION BY c) AS n1, CASE WHEN b IS NOT NULL THEN count(*) OVER (PARTITION BY b, c) END AS n2, CASE WHEN a IS NOT NULL THEN count(*) OVER (PARTITION BY a, b, c) END AS n3 FROM p),
+u AS (SELECT c AS w, count(*) AS u FROM p GROUP BY 1), v AS (SELECT b, c, count(*) AS v FROM p WHERE b IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT doc_id, CASE WHEN n3 >= 2 THEN ln(n3) - ln(v.v) ELSE CASE WHEN n3 IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN n2 >= 2 THEN ln(n2) - ln(u.u) ELSE CASE WHEN n2 IS NULL THEN 0 ELSE ln(0.4) END + ln(n1) - ln((SELECT count(*) FROM p)) END END AS s,
+  CASE WHEN n3 < 2 THEN 1 ELSE 0 END + CASE WHEN n2 < 2 THEN 1 ELSE 0 END AS k FROM x LEFT JOIN u ON u.w = x.b LEFT JOIN v ON v.b = x.a AND v.c = x.b)
+SELECT d.doc_id, CAST(coalesce(max(len(d.w)), 0) AS BIGINT) AS n_words, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_backed, round(coalesce(sum(s), 0), 3) AS score FROM d LEFT JOIN s USING (doc_id) GROUP BY 1
 """

@@ -521,3 +521,9 @@ def test_pages_equal_their_articles(spark):
         inner = re.search(r"<article>(.*?)</article>", r["html"], re.S).group(1)
         assert html_extract.main_text(r["html"]) == " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)[^>]*>", " ", inner))).split())
     assert rows
+
+
+def test_the_query_of_scores_backs_off(spark):
+    rows = language_model.op8_lm_scoring(spark, "/root/testdata/sf0.001").collect()
+    backed, words = sum(r["n_backed"] for r in rows), sum(r["n_words"] for r in rows)
+    assert words < backed < 2 * words  # about one step to a shorter context for each word
