@@ -87,9 +87,9 @@ def build(df: DataFrame, id_col: str, vector: str, lists: int | None = None) ->
 
 
 def search(queries: DataFrame, id_col: str, vector: str, index: Index, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
-    """``query, id, score, rank``: the ``k`` nearest indexed vectors of each query by cosine, without the query itself; ties by id.
+    """``query, id, score, rank``: the ``k`` nearest indexed vectors of each query by cosine, without the query itself; ties (to nine decimals) by id.
 
-    Each query looks into its ``probes`` nearest lists (the index's own number by default). exact: it looks, once more, into each list whose best possible cosine (the angle to the centre less the
+    A part of a list (PART vectors at most, or about so many) meets a part of the queries as a product of two matrices, of which the ``k`` best of each query are kept. Each query looks into its ``probes`` nearest lists (the index's own number by default). exact: it looks, once more, into each list whose best possible cosine (the angle to the centre less the
     list's radius) isn't below its k-th best so far, so no nearer vector is missed. Queries that aren't usable find nothing.
     """
     c, probes = index.centres, index.probes if probes is None else probes
@@ -99,6 +99,8 @@ def search(queries: DataFrame, id_col: str, vector: str, index: Index, k: int, p
     id_type = dict(queries.dtypes)[id_col]
     parts = F.create_map(*(F.lit(x) for i, (n, _) in known.items() for x in (i, n))) if known else F.create_map(F.lit(-1), F.lit(1))
     base = index.rows.select(F.col("list"), F.pmod(F.xxhash64("id"), parts[F.col("list")]).cast("int").alias("part"), "id", "unit")
+    blocks = max(1, -(-queries.count() // PART))
+    base = base.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = _usable(queries, id_col, vector).select(F.col("id").alias("query"), F.col("unit").alias("q"))
 
     def routed(rows: DataFrame, choose) -> DataFrame:
@@ -118,8 +120,22 @@ def search(queries: DataFrame, id_col: str, vector: str, index: Index, k: int, p
         best = Window.partitionBy("query").orderBy(F.desc("score"), "id")  # a rank limit is pushed below the exchange
         return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
+    def meet(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out, ids = [], b["id"].to_numpy()
+        vectors = np.stack(b["unit"].to_numpy()) if len(b) else None
+        for at in range(0, len(q) if len(b) else 0, 256):
+            some = q.iloc[at : at + 256]
+            like = np.round(np.stack(some["q"].to_numpy()) @ vectors.T, 9)
+            for query, s in zip(some["query"], like, strict=True):
+                s[ids == query] = -np.inf
+                good = np.flatnonzero(s >= (np.partition(s, -k)[-k] if len(s) > k else -2))
+                best = good[np.lexsort((ids[good], -s[good]))[:k]]
+                out += [(query, ids[i], s[i]) for i in best]
+        return pd.DataFrame(out, columns=["query", "id", "score"])
+
     def met(to: DataFrame) -> DataFrame:
-        return to.join(base, ["list", "part"]).where("query <> id").select("query", "id", dot(F.col("q"), F.col("unit")).alias("score"))
+        dealt = to.withColumn("asked", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).groupBy("list", "part", "asked")
+        return dealt.cogroup(base.groupBy("list", "part", "asked")).applyInPandas(meet, f"query {id_type}, id {dict(index.rows.dtypes)['id']}, score double")
 
     def nearest(like: np.ndarray, batch: pd.DataFrame, known: dict) -> list:
         return np.argsort(-like, axis=1, kind="stable")[:, :probes].tolist()
