@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from llm.common import UPPER, discard, table, written
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Where words back off, what is left travels twice, so more is counted before: MORE_HOT times HOT n-grams.
+MORE_HOT = 4
 ORDER, LEAST, ALPHA, HOT, SAMPLE_ONE_IN, CACHE, TOGETHER = 3, 1, 0.4, 1 << 18, 32, 200_000, 1 << 16
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -115,8 +117,8 @@ def combined(text: np.ndarray, key: np.ndarray, w: np.ndarray) -> tuple[np.ndarr
 class Places:
     """Places of keys in a sorted list, by a table of their leading bits; what shares a slot there is searched for."""
 
-    def __init__(self, keys: np.ndarray, bits: int = 20):
-        self.bits = bits
+    def __init__(self, keys: np.ndarray, bits: int | None = None):
+        self.bits = bits = max(16, min(22, len(keys).bit_length() + 2)) if bits is None else bits
         self.keys, self.place = keys, np.full(1 << bits, -1, np.int32)
         slots = self._slots(keys)
         self.place[slots[::-1]] = np.arange(len(keys), dtype=np.int32)[::-1]
@@ -315,7 +317,7 @@ def _returned_scores(documents: DataFrame, order: int, least: int, alpha: float)
     docs = _texts(documents)
     docs = docs.withColumn("key", F.coalesce("doc", F.xxhash64("text")))  # rows without an id are counted like others
     keyed = docs.select(F.col("key").alias("doc"), "text")
-    keys = _commonest(keyed, order, HOT, "doc")
+    keys = _commonest(keyed, order, MORE_HOT * HOT, "doc")
     counts, tokens = _hot_counts(keyed, order, keys)
     with _shuffles_cleaned(documents.sparkSession):
         levels = [written(_repeated(keyed, n, keys, least if n > 1 else 2)) for n in range(order, 0, -1)]
