@@ -1,9 +1,9 @@
-"""Chunks, the vector index, and the centroid classifier."""
+"""Chunks, the vector index, the centroid classifier, and key phrases."""
 
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
-from tidemark.operators import chunks, classifiers, index
+from tidemark.operators import chunks, classifiers, index, phrases
 from tidemark.operators import text_stats as T
 from tidemark.plans.registry import query, read, read_texts
 from tidemark.plans.text import w
@@ -39,3 +39,16 @@ def centroid_classifier(spark, sf):
     weights = T.tfidf(read_texts(spark, sf), "doc_id", X.words(F.col("text"), 3, X.STOP_WORDS))
     found = classifiers.nearest_label(weights, classifiers.label_centroids(weights, read(spark, sf, "labels"), "doc_id", "quality"), "doc_id")
     return found.withColumn("score", F.round("score", 4))
+
+
+@query(f"""WITH d AS (SELECT doc_id, {w(3, True)} AS w FROM documents), o AS (SELECT doc_id, 1.0 AS per, 30 AS most, unnest(w) AS phrase FROM d UNION ALL SELECT doc_id, 1.5, 20, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d),
+c AS (SELECT doc_id, per, most, phrase, count(*) AS n FROM o GROUP BY ALL), r AS (SELECT doc_id, phrase, per * n AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, per ORDER BY n DESC, phrase) AS k FROM c) WHERE k <= most)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, phrase, CAST(weight AS DOUBLE) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, phrase) AS rank FROM r) WHERE rank <= 10""")
+def key_phrases(spark, sf):
+    return phrases.key_phrases(read_texts(spark, sf), "doc_id", X.words(F.col("text"), 3, X.STOP_WORDS))
+
+
+@query()
+def stemmed_key_phrases(spark, sf):
+    """Key phrases whose words count by their stems; tested against a plain count."""
+    return phrases.key_phrases(read_texts(spark, sf), "doc_id", X.words(F.col("text"), 3, X.STOP_WORDS), stemmed=True)
