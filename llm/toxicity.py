@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from llm.common import held_out, labelled_sample, table, written
 
 #: At most BOUND labelled rows are learned from; a token needs LEAST toxic or other uses and SURE standard errors.
-BOUND, LEAST, SURE, PRIOR, DRIFT, SIGNIFICANT, CUT = 20_000, 4, 4.0, 0.1, -0.05, 0.01, 0.7
+BOUND, LEAST, SURE, PRIOR, DRIFT, SIGNIFICANT, CUT = 20_000, 3, 3.0, 0.1, -0.05, 0.01, 0.7
 STEMS, CACHE = (7, 6, 5, 4), 100_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -141,6 +141,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def rising_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The logistic curve of both measures, none of which may lower a score: one that would is left out, and the other fitted alone (flat if it would too)."""
+    w = _logistic(x, y)
+    for k in (0, 1):
+        if w[1 + k] < 0:
+            other = 1 - k
+            rest = _logistic(x[:, [other]], y)
+            if rest[1] < 0:
+                return np.array([_logistic(x[:, :0], y)[0], 0.0, 0.0])
+            w = np.array([rest[0], 0.0, 0.0])
+            w[1 + other] = rest[1]
+            break
+    return w
+
+
 class Model:
     """Weights, the tail's rate, and the curve; ``score`` needs nothing else."""
 
@@ -180,7 +195,7 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> Model:
             yield pd.DataFrame([(*features(t, known, rate)[:2], y) for t, y in zip(batch["text"], batch["label"], strict=True)], columns=["x", "n", "y"])
 
     at = sample.mapInPandas(measure, "x double, n long, y long").toPandas()  # `bound` rows of three numbers
-    return Model(weights, rate, _logistic(np.column_stack([at["x"].clip(upper=40.0), np.log1p(at["n"])]), at["y"].to_numpy(float)))
+    return Model(weights, rate, rising_curve(np.column_stack([at["x"].clip(upper=40.0), np.log1p(at["n"])]), at["y"].to_numpy(float)))
 
 
 def toxicity(documents: DataFrame, model: Model) -> DataFrame:

@@ -527,3 +527,20 @@ def test_the_query_of_scores_backs_off(spark):
     rows = language_model.op8_lm_scoring(spark, "/root/testdata/sf0.001").collect()
     backed, words = sum(r["n_backed"] for r in rows), sum(r["n_words"] for r in rows)
     assert words < backed < 2 * words  # about one step to a shorter context for each word
+
+
+def test_curves_never_fall():
+    rng = np.random.default_rng(8)
+    y = (rng.random(300) < 0.3).astype(float)
+    for signs in ((1, 1), (1, -1), (-1, 1), (-1, -1)):
+        x = np.column_stack([s * (y + rng.normal(size=300)) for s in signs])
+        curve = toxicity.rising_curve(x, y)
+        assert (curve[1:] >= 0).all() and [c > 0 for c in curve[1:]] == [s > 0 for s in signs]
+
+
+def test_few_labels_are_enough(spark):
+    rows = toxicity.op3_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    toxic, clean = ([r["score"] for r in rows if r["toxic"] == t] for t in (1, 0))
+    wins = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean)
+    assert wins >= 0.9 * len(toxic) * len(clean)
+    assert sum(a >= toxicity.CUT for a in toxic) >= 0.75 * len(toxic) and sum(b >= toxicity.CUT for b in clean) <= 1
