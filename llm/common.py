@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,24 @@ def of_least_hash(rows: DataFrame, n: int) -> DataFrame:
     return rows.where(F.col("at") <= F.lit(last)).groupBy("at").agg(F.min(F.struct(*rest)).alias("r")).select("at", "r.*")
 
 
+def commonest(counts: DataFrame, key: str, most: int) -> np.ndarray:
+    """The values of ``key``, sorted, whose count ``n`` (above 1) is greatest: ``most`` of them at most, and all that have the same count or none.
+
+    The least count that qualifies is found from how many keys have counts of each eighth of a power of two (a few hundred numbers), so no more than the result meets on the driver.
+    """
+    counts = written(counts.where("n > 1"))
+    level = F.floor(F.log2("n") * 8 + 1e-9).cast("int")
+    found, cut = 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
+        found += r["count"]
+        if found > most:
+            break
+        cut = r["level"]
+    keys = counts.where(level >= cut).select(key).toPandas()[key].to_numpy(np.int64) if cut is not None else np.empty(0, np.int64)
+    discard(counts)
+    return np.sort(keys)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node reachable) for every node of ``links`` (src, dst: long).
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import UPPER, discard, table, written
+from llm.common import UPPER, commonest, discard, table, written
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Where words back off, what is left travels twice, so more is counted before: MORE_HOT times HOT n-grams.
@@ -156,8 +156,7 @@ def _commonest(docs: DataFrame, order: int, most: int, by: str = "text") -> np.n
             yield pd.DataFrame({"gram": key, "n": n})
 
     picked = docs.where(F.pmod(F.xxhash64(by), F.lit(SAMPLE_ONE_IN)) == 0)
-    counts = picked.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where("n > 1")
-    return np.sort(counts.orderBy(F.desc("n"), "gram").limit(most).toPandas()["gram"].to_numpy(np.int64))
+    return commonest(picked.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "gram", most)
 
 
 def _hot_counts(docs: DataFrame, order: int, keys: np.ndarray) -> tuple[np.ndarray, int]:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import discard, table, written
+from llm.common import commonest, table, written
 
 WINDOW, HOT, SAMPLE_ONE_IN, CACHE, TOGETHER = 13, 1 << 18, 32, 200_000, 1 << 17
 BASE = 0x9E3779B97F4A7C15
@@ -95,8 +95,7 @@ def _hot(docs: DataFrame, window: int, most: int) -> np.ndarray:
             yield pd.DataFrame({"window": key, "n": n})
 
     picked = docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE_ONE_IN)) == 0)
-    counts = picked.mapInPandas(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).where("n > 1")
-    return np.sort(counts.orderBy(F.desc("n"), "window").limit(most).toPandas()["window"].to_numpy(np.int64))
+    return commonest(picked.mapInPandas(run, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")), "window", most)
 
 
 def _exploded(docs: DataFrame, window: int, hot: np.ndarray) -> DataFrame:
