@@ -32,8 +32,8 @@ def tfidf(df: DataFrame, key: str, words: Column) -> DataFrame:
     df_ = tf.groupBy("word").agg(F.count("*").alias("df"))
     total = df.select(key).distinct().agg(F.count("*").alias("n"))
     raw = tf.join(df_, "word").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))  # one row
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, key).select(key, "word", (F.col("w") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # one more exchange, and nothing is worked out twice
+    return raw.select(key, "word", (F.col("w") / norm).alias("weight"))
 
 
 def lexicon_sentiment(words: Column, positive: list[str], negative: list[str]) -> Column:
