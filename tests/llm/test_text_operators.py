@@ -544,3 +544,16 @@ def test_few_labels_are_enough(spark):
     wins = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean)
     assert wins >= 0.9 * len(toxic) * len(clean)
     assert sum(a >= toxicity.CUT for a in toxic) >= 0.75 * len(toxic) and sum(b >= toxicity.CUT for b in clean) <= 1
+
+
+def test_rare_classes_are_judged_by_wider_ones(spark):
+    import random
+    import string
+
+    rng = random.Random(11)
+    keys = ["".join(rng.choices(string.ascii_letters + string.digits, k=64)) for _ in range(5)]
+    long_names = ["monthly" + "ReportOfAllAccounts" * 3 + str(k) for k in range(5)]
+    strings = spark.createDataFrame([(k, v) for k, v in enumerate(keys + long_names)], "id long, value string")
+    short = spark.createDataFrame([(f"getAccountReport{k}Final{2000 + k}",) for k in range(40)], "value string")  # nothing of their length
+    assert {r["id"] for r in secrets.random_strings(strings, short).collect()} == set(range(5))
+    assert secrets.random_strings(strings, short.limit(3)).count() == 0
