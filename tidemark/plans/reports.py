@@ -165,7 +165,7 @@ def topic_model(spark, sf):
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
 
-    d = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", X.letters_only(F.col("text")).alias("w"))
+    d = read(spark, sf, "documents").select("doc_id", X.letters_only(F.col("text")).alias("w"))
     counted = CountVectorizer(inputCol="w", outputCol="features", vocabSize=2000, minDF=2).fit(d).transform(d)
     shares = LDA(k=5, maxIter=5, seed=7).fit(counted).transform(counted).withColumn("shares", vector_to_array("topicDistribution"))
     return shares.select("doc_id", (F.array_position("shares", F.array_max("shares")) - 1).cast("int").alias("topic"), F.round(F.array_max("shares"), 4).alias("share"))

@@ -130,10 +130,10 @@ def meta_descriptions(spark, sf):
     return _docs(spark, sf).select("doc_id", X.meta_description(F.col("text")).alias("description"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_distinct({w(3, True)}) AS w FROM documents WHERE lang = 'en'), x AS (SELECT doc_id, unnest(w) AS word FROM d), top AS (SELECT word FROM x GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 30), y AS (SELECT x.* FROM x JOIN top USING (word))
+@query(f"""WITH d AS (SELECT doc_id, list_distinct({w(3, True)}) AS w FROM documents), x AS (SELECT doc_id, unnest(w) AS word FROM d), top AS (SELECT word FROM x GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 30), y AS (SELECT x.* FROM x JOIN top USING (word))
 SELECT a.word AS a, b.word AS b, count(*) AS docs FROM y a JOIN y b ON a.doc_id = b.doc_id AND a.word < b.word GROUP BY 1, 2""")
 def entity_cooccurrence(spark, sf):
-    x = _docs(spark, sf).where("lang = 'en'").select("doc_id", F.explode(F.array_distinct(X.words(F.col("text"), 3, X.STOP_WORDS))).alias("word"))
+    x = _docs(spark, sf).select("doc_id", F.explode(F.array_distinct(X.words(F.col("text"), 3, X.STOP_WORDS))).alias("word"))
     top = x.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(30).select("word")
     kept = x.join(F.broadcast(top), "word")  # thirty words
     lists = kept.groupBy("doc_id").agg(F.array_sort(F.collect_set("word")).alias("w"))  # thirty words at most
