@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import graph as G
+from tidemark.operators import holds as H
 from tidemark.plans.registry import TIE, query, read, read_texts
 from tidemark.plans.series import _events
 from tidemark.sources.snapshots import Snapshot
@@ -78,6 +79,43 @@ def legal_holds(spark, sf):
     return read_texts(spark, sf).select("doc_id", "n_chars", F.explode(met).alias("hold")).groupBy("hold").agg(F.count("*").alias("held"), F.min("doc_id").alias("first"), F.sum("n_chars").cast("long").alias("chars"))
 
 
+#: Documents as items: a source is its own domain and, with the language, its author; days go round in a year.
+HELD = """WITH i AS (SELECT doc_id AS id, lower(substr(text, 1, 40) || ' ' || text || ' ' || source) AS txt, source, lang, source || '-' || lang AS author, 'http://' || source || '.example/' || doc_id AS url, DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER) AS published FROM documents),
+h AS (SELECT DISTINCT source AS hold FROM documents), m AS (SELECT hold, id FROM h JOIN i ON i.source = h.hold AND contains(url, '//' || hold || '.') AND lang IN ('en', 'fr') AND author IN (hold || '-en', hold || '-fr') AND published >= DATE '2024-02-01' AND published <= DATE '2024-10-31' AND (contains(txt, 'license') OR contains(txt, 'the ')))"""
+
+
+def _items_and_holds(spark, sf):
+    d = read_texts(spark, sf)
+    items = d.select(
+        F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.col("text").alias("content"), "source", F.array("lang").alias("topics"), F.concat_ws("-", "source", "lang").alias("author_name"),
+        F.concat(F.lit("http://"), "source", F.lit(".example/"), "doc_id").alias("url"), F.expr("CAST(date_add(DATE '2024-01-01', CAST(doc_id % 365 AS INT)) AS TIMESTAMP)").alias("published_at"),
+    )
+    words = F.array(F.lit("License"), F.lit("the "))
+    holds = d.select(F.col("source").alias("hold")).distinct().select(
+        "hold", F.lit("active").alias("status"), words.alias("keywords"), F.array("hold").alias("sources"), F.array(F.lit("EN"), F.lit("fr")).alias("topics"), F.array(F.concat("hold", F.lit("-en")), F.concat("hold", F.lit("-fr"))).alias("authors"),
+        F.array(F.concat(F.lit("//"), "hold", F.lit("."))).alias("domains"), F.lit("2024-02-01").cast("timestamp").alias("date_from"), F.lit("2024-10-31").cast("timestamp").alias("date_to"),
+    )
+    return items, holds
+
+
+@query(HELD + " SELECT hold, id FROM m")
+def hold_matches(spark, sf):
+    """Items that meet all seven criteria of a hold; each source has one."""
+    return H.held(*_items_and_holds(spark, sf))
+
+
+@query(HELD + " SELECT hold, count(*) AS n, min(id) AS first FROM m GROUP BY 1")
+def preserved_by_hold(spark, sf):
+    """What is preserved for each hold, once more preserved, exported by hold and read back."""
+    G.checkpoints(spark)
+    items, holds = _items_and_holds(spark, sf)
+    matches = H.held(items, holds).checkpoint()
+    kept = H.preserved(items, matches, F.lit("2024-06-01"))
+    at = f"{spark.sparkContext.getCheckpointDir()}/export-{uuid.uuid4().hex}"
+    H.export(H.preserved(items, matches, F.lit("2024-07-01"), kept.checkpoint()), at)
+    return spark.read.schema("id long, snapshot string, preserved_at timestamp, hold string").json(at).groupBy("hold").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
 @query("""SELECT doc_id, sha256(text) AS sha256, n_chars FROM documents WHERE contains(lower(text), 'license')""")
 def preserved_content(spark, sf):
     return read_texts(spark, sf).where(F.lower("text").contains("license")).select("doc_id", F.sha2("text", 256).alias("sha256"), "n_chars")
