@@ -106,6 +106,11 @@ def decontaminate(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, hits and items of all ``documents`` against ``benchmark``.
+
+    Null and empty texts have no words and no hit; texts are read whole. Rows that share an id share their hits and have a row each; repeated items count once by their id. Other columns aren't
+    read; an empty table of documents gives none, an empty benchmark no hits.
+    """
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

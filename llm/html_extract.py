@@ -282,5 +282,10 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page_id, url, text, n_chars`` of all ``pages``.
+
+    Null and empty pages have an empty text; pages are read whole, in memory linear in the page. Repeated rows have a row each, null ids and urls are kept. Where both sides of the cut cost the same a block is
+    boilerplate. Other columns aren't read; an empty table gives none.
+    """
     text = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

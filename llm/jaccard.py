@@ -386,6 +386,11 @@ def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int,
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of all ``documents``.
+
+    Null texts and those without words have no shingles and link with nothing; texts of fewer than five words are one shingle. Texts are read whole. Rows that repeat an id are one node; equal
+    texts link. Other columns aren't read; an empty table gives none.
+    """
     return shingle_classes(table(spark, sf_dir, "documents"))
 
 

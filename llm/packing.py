@@ -228,4 +228,9 @@ def best_fit_packing(documents: DataFrame, path: str | None = None, capacity: in
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all ``documents`` with their sequences and offsets.
+
+    Null and empty texts are one piece of the closing id alone; long texts are cut into whole pieces of 4,096 ids and the rest. Repeated rows and ids are packed each; pieces of equal length take
+    their places in any order. Other columns aren't read; an empty table gives none.
+    """
     return best_fit_packing(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -242,6 +242,11 @@ def redacted(documents: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the base kinds, their digest, and all spans, for every row of ``documents``.
+
+    Null texts read as empty and have no spans; texts are read whole, however long. Rows that repeat are scored each; where spans tie on a start they are in the order of the kinds. Other columns
+    aren't read; an empty table gives none.
+    """
     found = personal_data(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

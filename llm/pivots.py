@@ -184,6 +184,11 @@ def near_duplicates(embeddings: DataFrame, link: float = LINK, nearest: int = NE
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vec_id, n_links, component_id, kept`` for every row of ``embeddings``.
+
+    Vectors that are null, empty, zero, or hold null or non-finite entries, those without a label, and rows without an id link with nothing. Rows that repeat an id and a vector are
+    copies of one node; equal vectors of different ids link. Other columns aren't read; an empty table gives none.
+    """
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
