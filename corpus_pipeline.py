@@ -49,12 +49,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind in brackets."""
+    """Personal data in the texts is replaced by its kind in brackets; null and empty texts, and all other columns, stay as they are, repeated rows too. An empty table gives none."""
     return pii.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts as pieces of packed token sequences."""
+    """The texts as pieces of packed token sequences; null and empty texts are one piece, long ones several, and repeated rows are packed each. An empty table gives none."""
     return packing.best_fit_packing(docs)
 
 
