@@ -27,7 +27,7 @@ _TABLE = bytes(c if c >= 0x80 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0
 
 
 def terms(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split(b" ") if text else []
+    return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
 def per_unit(count: np.ndarray, total: int) -> np.ndarray:
@@ -77,10 +77,10 @@ def _counted(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
                 found = Counter(terms(text))
-                del found[b""]
                 of = known.setdefault((lang, source), {})
+                before = of.get
                 for term, k in found.items():
-                    of[term] = of.get(term, 0) + k + DOCUMENT
+                    of[term] = before(term, 0) + k + DOCUMENT
                 added += len(found)
                 if added > TOGETHER:
                     held = sum(map(len, known.values()))
