@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.graph import components
+from tidemark.operators.graph import checkpoints, components
+
+#: So many top words of all topics, or fewer, are sent to the tasks; more are joined by the word.
+KNOWN = 100_000
 
 
 def top_words(topics: DataFrame, n: int) -> DataFrame:
@@ -24,8 +27,9 @@ def coherence(topics: DataFrame, texts: DataFrame, key: str, words: Column, n: i
     """
     held = texts.select(key, F.array_distinct(words).alias("w")).where(F.size("w") > 0)
     total = held.agg(F.count("*").alias("texts"))
-    top = top_words(topics, n).select("topic", "word")
-    rows = held.select(key, F.explode("w").alias("word")).join(top, "word")
+    checkpoints(texts.sparkSession)
+    top = top_words(topics, n).select("topic", "word").checkpoint()
+    rows = held.select(key, F.explode("w").alias("word")).join(F.broadcast(top) if top.count() <= KNOWN else top, "word")
     one = rows.groupBy("topic", "word").agg(F.count("*").alias("n"))
     lists = rows.groupBy("topic", key).agg(F.array_sort(F.collect_list("word")).alias("w"))  # n words at most
     pair = F.flatten(F.transform("w", lambda a, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda b: F.struct(a.alias("a"), b.alias("b")))))
