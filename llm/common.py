@@ -89,19 +89,21 @@ def of_least_hash(rows: DataFrame, n: int) -> DataFrame:
 
 
 def commonest(counts: DataFrame, key: str, most: int) -> np.ndarray:
-    """The values of ``key``, sorted, whose count ``n`` (above 1) is greatest: ``most`` of them at most, and all that have the same count or none.
+    """The values of ``key``, sorted, whose count ``n`` (above 1) is greatest: about ``most`` of them at most, in the last eighth of a power of two those of least hash.
 
-    The least count that qualifies is found from how many keys have counts of each eighth of a power of two (a few hundred numbers), so no more than the result meets on the driver.
+    How far down that reaches is found from how many keys have counts of each eighth of a power of two (a few hundred numbers), so no more than the result meets on the driver.
     """
     counts = written(counts.where("n > 1"))
     level = F.floor(F.log2("n") * 8 + 1e-9).cast("int")
-    found, cut = 0, None
+    found, picked = 0, F.lit(False)
     for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):
-        found += r["count"]
-        if found > most:
+        room = most - found
+        if r["count"] > room:  # a share of this level, a hundredth below what there is room for
+            picked = picked | ((level == r["level"]) & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(room / r["count"] * 990_000)))
             break
-        cut = r["level"]
-    keys = counts.where(level >= cut).select(key).toPandas()[key].to_numpy(np.int64) if cut is not None else np.empty(0, np.int64)
+        found += r["count"]
+        picked = picked | (level == r["level"])
+    keys = counts.where(picked).select(key).toPandas()[key].to_numpy(np.int64)
     discard(counts)
     return np.sort(keys)
 
