@@ -59,6 +59,15 @@ def test_words_and_syllables(spark):
     assert round(one(spark, X.flesch(F.col("t")), t="The be queue rhythm e. Fly be!"), 3) == round(206.835 - 1.015 * 7 / 2 - 84.6 * 7 / 7, 3)
 
 
+def test_readability_near_ties(spark, tmp_path):
+    """120 words, 6 sentences, 177 syllables lie just below a tie; 125, 7, 200 do so until they are multiplied."""
+    from tidemark.plans.text import readability
+
+    made = lambda words, ends, syllables: " ".join(("baba" if i < syllables - words else "ba") + ("." if i % (words // ends) == 0 and i // (words // ends) < ends - 1 else "") for i in range(words))
+    spark.createDataFrame([(1, made(120, 6, 177)), (2, made(125, 7, 200)), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["flesch"] for r in readability(spark, str(tmp_path)).collect()} == {1: 61.7, 2: 53.4, 3: 50.0}
+
+
 def test_boolean_search(spark):
     df = spark.createDataFrame([(1, "red apple"), (2, "red pear"), (3, None)], "id long, t string")
     rows = filters.boolean_search(df, F.lit(1.0), {"t": ["red"]}, {"t": ["apple", "plum"]}, {"t": ["pear"]}).collect()

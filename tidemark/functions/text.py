@@ -58,19 +58,29 @@ def syllables(word: Column) -> Column:
     return F.greatest(F.lit(1), F.regexp_count(F.regexp_replace(word, "e$", ""), F.lit("[aeiouy]+")))
 
 
-def flesch(text: Column) -> Column:
-    """Flesch reading ease, at least 0; 50 where there is no word or sentence.
-
-    Syllables are counted on the whole text: vowel groups once final e's are gone, and one for each word that has none then.
-    """
+def _reading_counts(text: Column) -> tuple[Column, Column, Column]:
+    """Words, sentences and syllables. Syllables are counted on the whole text: vowel groups once final e's are gone, and one for each word that has none then."""
     low = F.lower(text)
     n_words, n_sentences = F.regexp_count(low, F.lit("[a-z]+")), F.size(sentences(text))
     groups = F.regexp_count(F.regexp_replace(low, "e(?![a-z])", ""), F.lit("[aeiouy]+"))
     n_syllables = groups + F.regexp_count(low, F.lit("(?<![a-z])(?:[b-df-hj-np-tv-xz]+e?|e)(?![a-z])"))
+    return n_words, n_sentences, n_syllables
+
+
+def flesch(text: Column) -> Column:
+    """Flesch reading ease, at least 0; 50 where there is no word or sentence."""
+    n_words, n_sentences, n_syllables = _reading_counts(text)
     ease = 206.835 - 1.015 * n_words / n_sentences - 84.6 * n_syllables / n_words
     return F.when((n_words == 0) | (n_sentences == 0), 50.0).otherwise(F.greatest(F.lit(0.0), ease))
 
 
+def flesch_tenths(text: Column) -> Column:
+    """``flesch`` to one decimal as SQL works it out: its factors are decimals, so products with counts are exact, and what is rounded is ten times the ease."""
+    n_words, n_sentences, n_syllables = _reading_counts(text)
+    ease = 206.835 - n_words.cast("long") * 1015 / 1000 / n_sentences - n_syllables.cast("long") * 846 / 10 / n_words
+    return F.when((n_words == 0) | (n_sentences == 0), 50.0).otherwise(F.round(F.greatest(F.lit(0.0), ease) * 10) / 10)
+
+
 def meta_description(text: Column, most: int = 160) -> Column:
     """Whole sentences from the start, up to ``most`` characters; of a first sentence that is longer, its whole words."""
     clean = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
