@@ -2,6 +2,7 @@
 
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -80,6 +81,26 @@ def test_tfidf_rows_have_unit_length(spark):
     assert {r["id"]: round(r["s"], 9) for r in w} == {1: 1.0, 2: 1.0}
 
 
+@pytest.mark.parametrize("known", [100, 0])
+def test_tfidf_exchanges_texts_alone(spark, monkeypatch, known):
+    """Weights and their totals by hand, with repeated ids and words of one text; no word is exchanged where the shared ones are sent."""
+    import math
+
+    monkeypatch.setattr(text_stats, "KNOWN", known)
+    df = spark.createDataFrame([(1, "a b b"), (2, "a c"), (2, "c d"), (3, ""), (4, None)], "id long, t string")
+    idf = lambda n: math.log((1 + 4) / (1 + n)) + 1
+    raw = {(1, "a"): idf(2), (1, "b"): 2 * idf(1), (2, "a"): idf(2), (2, "c"): 2 * idf(1), (2, "d"): idf(1)}
+    norm = {k: math.sqrt(sum(v * v for (i, _), v in raw.items() if i == k)) for k in (1, 2)}
+    weights = text_stats.tfidf(df, "id", X.words(F.col("t")))
+    assert {(r["id"], r["word"]): round(r["weight"], 9) for r in weights.collect()} == {k: round(v / norm[k[0]], 9) for k, v in raw.items()}
+    totals = text_stats.tfidf_totals(df, "id", text_stats.hashed(X.words(F.col("t"))))
+    got = {r["id"]: (r["terms"], round(r["strongest"], 9), round(r["mass"], 9)) for r in totals.collect()}
+    assert got == {k: (n, round(max(v for (i, _), v in raw.items() if i == k) / norm[k], 9), round(sum(v for (i, _), v in raw.items() if i == k) / norm[k], 9)) for k, n in ((1, 2), (2, 3))}
+    if known:
+        plan = totals._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(id" in plan and ", word" not in "".join(x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
 def test_dedup(spark):
     df = spark.createDataFrame([(1, "A ", "x"), (2, "a", "yy"), (3, "b", None)], "id long, t string, body string")
     assert [r["id"] for r in dedup.keep_first(df, F.lower(F.trim("t")), ["id"]).orderBy("id").collect()] == [1, 3]

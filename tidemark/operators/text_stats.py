@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import text as X
+from tidemark.operators.graph import checkpoints
+
+#: So many words that texts share, or fewer, are sent to the tasks; more are joined by the word.
+KNOWN = 1_000_000
 
 
 def word_rows(df: DataFrame, key: str, words: Column) -> DataFrame:
@@ -26,14 +30,34 @@ def bigrams(df: DataFrame, words: Column) -> DataFrame:
     return w.select(F.explode(pairs).alias("bigram")).groupBy("bigram").agg(F.count("*").alias("n"))
 
 
+def _weighted(df: DataFrame, key: str, words: Column) -> DataFrame:
+    """``key, word, w``: tf * (ln((1 + n) / (1 + df)) + 1). Rows come dealt out by ``key``, so what is grouped by it needs no exchange.
+
+    Texts are dealt out by key, not their words. Words in more than one text, up to KNOWN of them, are sent to the tasks with their numbers; more are joined by the word.
+    """
+    checkpoints(df.sparkSession)
+    tf = word_rows(df.repartition(key), key, words).groupBy(key, "word").agg(F.count("*").alias("tf"))
+    shared = tf.groupBy("word").agg(F.count("*").alias("df")).where("df > 1").checkpoint()  # any other word is in one text
+    total = df.select(key).distinct().agg(F.count("*").alias("n"))
+    known = tf.join(F.broadcast(shared) if shared.count() <= KNOWN else shared, "word", "left").crossJoin(F.broadcast(total))  # one row
+    return known.select(key, "word", (F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.coalesce("df", F.lit(1)))) + 1)).alias("w"))
+
+
 def tfidf(df: DataFrame, key: str, words: Column) -> DataFrame:
     """``key, word, weight``: tf * (ln((1 + n) / (1 + df)) + 1), rows of unit length."""
-    tf = word_rows(df, key, words).groupBy(key, "word").agg(F.count("*").alias("tf"))
-    df_ = tf.groupBy("word").agg(F.count("*").alias("df"))
-    total = df.select(key).distinct().agg(F.count("*").alias("n"))
-    raw = tf.join(df_, "word").crossJoin(F.broadcast(total)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))  # one row
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # one more exchange, and nothing is worked out twice
-    return raw.select(key, "word", (F.col("w") / norm).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
+    return _weighted(df, key, words).select(key, "word", (F.col("w") / norm).alias("weight"))
+
+
+def tfidf_totals(df: DataFrame, key: str, words: Column) -> DataFrame:
+    """``key, terms, strongest, mass`` of the rows of ``tfidf``: how many, the greatest and the sum, by sums of a key alone."""
+    of = _weighted(df, key, words).groupBy(key).agg(F.count("*").alias("terms"), F.max("w").alias("most"), F.sum("w").alias("all"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return of.select(key, "terms", (F.col("most") / F.col("norm")).alias("strongest"), (F.col("all") / F.col("norm")).alias("mass"))
+
+
+def hashed(words: Column) -> Column:
+    """Words as 64-bit hashes, which are shuffled and sent at a fraction of the size."""
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def lexicon_sentiment(words: Column, positive: list[str], negative: list[str]) -> Column:
