@@ -147,3 +147,15 @@ def test_streams_equal_batch(spark, tmp_path):
     assert spark.table("sessions").count() == activity.sessions(batch).count()
     assert spark.table("errors").groupBy("user_id").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == (batch.where("event_type = 'error'").count() or None)
     assert spark.table("once").count() == batch.count()
+
+
+def test_summaries_exchange_nothing(spark):
+    """Sentences by their words' counts in the text; ties go to the earlier one, null and empty texts have no row."""
+    df = spark.createDataFrame([(1, "Rare one here. Sea sea sea. Sky blue. Sea sky. Last word!"), (2, "One two. One two. One two."), (3, ""), (4, None), (5, "no end")], "id long, t string")
+    found = text_stats.summaries(df, "id", "t", 2)
+    assert {r["id"]: r["summary"] for r in found.collect()} == {1: "Rare one here. Sea sea sea.", 2: "One two. One two.", 5: "no end"}
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    twice = df.unionByName(spark.createDataFrame([(5, "no end"), (None, "no id")], "id long, t string"))
+    rows = [(r["id"], r["summary"]) for r in text_stats.summaries(twice, "id", "t", 2).collect()]
+    alone = [(r["id"], r["summary"]) for r in text_stats._shared_summaries(twice, "id", "t", 2).collect()]
+    assert sorted(rows, key=str) == sorted(alone, key=str) and len(rows) == 4

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,8 +81,30 @@ def topic_scores(text: Column, topics: dict[str, list[str]]) -> Column:
     return F.transform(ranked, lambda s: F.struct(s["topic"].alias("topic"), (-s["less"]).alias("score")))
 
 
-def summaries(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
-    """``key, summary``: the ``n`` sentences whose words are most frequent in the text, with less for late ones, in their order; earlier ones win ties."""
+def _best_sentences(n: int):
+    """Places of the ``n`` sentences whose words (``found``, lists of a text's sentences) are most frequent in the text, with less for late ones; earlier ones win ties."""
+
+    def picked(found: pd.Series) -> pd.Series:
+        out = []
+        for text in found:
+            counts = Counter(w for words in text for w in words)
+            total = [sum(counts[w] for w in words) * (10 if i == 0 else 8 if i < 3 else 5) for i, words in enumerate(text)]
+            out.append(sorted(sorted(range(len(total)), key=lambda i: -total[i])[:n]))
+        return pd.Series(out)
+
+    return F.pandas_udf(picked, "array<int>")
+
+
+def _own_summaries(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """``key, summary`` in the row that holds the text, so nothing is exchanged."""
+    runs = lambda s: F.regexp_extract_all(F.lower(s), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    s = df.select(key, X.sentences(F.trim(F.col(text))).alias("s")).where(F.size("s") > 0)
+    places = _best_sentences(n)(F.transform("s", lambda x: F.filter(runs(x), lambda w: w.rlike("^[a-z]{3,}$"))))
+    return s.withColumn("at", places).select(key, F.array_join(F.transform("at", lambda i: F.get("s", i)), " ").alias("summary"))
+
+
+def _shared_summaries(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """``key, summary`` of rows that may share a key: all their sentences count as one text's."""
     s = df.select(key, F.posexplode(X.sentences(F.trim(F.col(text)))).alias("i", "sentence"))
     w = s.select(key, "i", F.explode(F.regexp_extract_all(F.lower("sentence"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word")).where(F.col("word").rlike("^[a-z]{3,}$"))
     counts = w.groupBy(key, "word").agg(F.count("*").alias("n"))
@@ -88,3 +113,15 @@ def summaries(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     best = Window.partitionBy(key).orderBy("less", "i")  # ranked before they are gathered
     top = s.join(total, [key, "i"], "left").withColumn("less", less).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
     return top.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "sentence"))), lambda x: x["sentence"]), " ").alias("summary"))
+
+
+def summaries(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
+    """``key, summary``: the ``n`` sentences whose words are most frequent in the text, with less for late ones, in their order; earlier ones win ties.
+
+    A text is worked out in its row, which exchanges nothing but keys; only rows whose key is null or repeated are grouped. Texts without a sentence have no row.
+    """
+    many = df.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > 1) | F.col(key).isNull()).select(F.col(key).alias("_key"))
+    if many.isEmpty():
+        return _own_summaries(df, key, text, n)
+    same = df[key].eqNullSafe(many["_key"])
+    return _own_summaries(df.join(many, same, "left_anti"), key, text, n).unionByName(_shared_summaries(df.join(many, same, "left_semi"), key, text, n))
