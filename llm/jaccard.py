@@ -14,7 +14,7 @@ of the first ``allowed(n)`` + 1 keys of each.
    group only needs no more work.
 4. Queries. A document meets the groups of more documents than its own through its prefix, where sizes allow a link. The keys
    of its prefix that the group's union lacks are differences from every member; a group beyond the allowed number stays closed.
-5. The members of open groups that share a prefix key are compared by the first quarter of their keys, and by
+5. One member of each open group is compared first; a link settles all between the two groups. For what is left, the members that share a prefix key are compared by the first quarter of their keys, and by
    their whole sets where those leave it open.
 
 Links are decided on whole sets, made again from the texts; nothing is capped, and what
@@ -356,26 +356,32 @@ def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int,
     rows = written(member.join(written(spread), "token").where(f"own <= {_DIFFERENCES.format(n='n', m='greatest(least, (4 * n + 4) div 5)')}").drop("least"))
     discard(member)
     reach = written(rows.groupBy("grp").agg(F.min("last").alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("own").alias("least_own"), F.first("weight").alias("heavy")))
-    union = written(rows.select("token", F.col("grp").alias("open")).distinct().join(reach.withColumnRenamed("grp", "open"), "open").where("token <= reach"))
+    union = written(rows.groupBy("token", F.col("grp").alias("open")).agg(F.min("doc").alias("b")).join(reach.withColumnRenamed("grp", "open"), "open").where("token <= reach"))
 
     # queries against groups of more documents that may link: those that lack more of the query's prefix than a link allows stay closed
-    asking = rows.select("token", F.col("doc").alias("a"), F.col("grp").alias("of"), "n", "inner", "own", "weight")
+    asking = rows.select("token", F.col("doc").alias("a"), F.col("grp").alias("of"), "n", "own", "weight")
     differ = _DIFFERENCES.format(n="n", m="greatest(least, (4 * n + 4) div 5)")
     fit = f"(weight < heavy or (weight = heavy and of < open)) and 4 * n <= 5 * most and 5 * n >= 4 * least and own <= {differ} and least_own <= {_DIFFERENCES.format(n='most', m='n')}"
-    met = asking.join(union, "token").where(fit).groupBy("a", "open").agg(F.count("*").alias("common"), F.first("reach").alias("reach"), F.first("least").alias("least"))
+    met = asking.join(union, "token").where(fit).groupBy("a", "open").agg(F.count("*").alias("common"), F.first("reach").alias("reach"), F.first("least").alias("least"), F.first("of").alias("of"), F.min(F.struct("token", "b"))["b"].alias("b"))
     # keys of the query's prefix up to there: (steps passed - 1) * step + 1 at least
     within = (F.size(F.filter("steps", lambda t: t <= F.col("reach"))) - 1) * F.col("step") + 1
     met = met.join(ends.withColumnRenamed("doc", "a"), "a").where(within - F.col("common") <= F.expr(differ))
-    opened = written(met.select("a", "open").distinct())
-
-    # members of open groups that share a prefix key; the smaller set needs it in its shorter prefix
-    asks = asking.drop("weight").join(written(opened.select("a").distinct()), "a", "left_semi")
-    other = rows.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("grp").alias("open"), F.col("inner").alias("inner_b"), F.col("own").alias("own_b")).join(written(opened.select("open").distinct()), "open", "left_semi")
-    both = f"of <> open and 5 * least(n, m) >= 4 * greatest(n, m) and (n > m or inner) and (n < m or inner_b) and own <= {_DIFFERENCES.format(n='n', m='m')} and own_b <= {_DIFFERENCES.format(n='m', m='n')}"
-    pairs = asks.join(other, "token").where(both).select("a", "b", "open").distinct()
-    pairs = pairs.join(opened, ["a", "open"], "left_semi").select("a", "b")
-    may = _compared(pairs, sets.select("doc_id", "n", F.col("head").alias("tokens")), heads_may_link)
-    more = _compared(may, docs, sets_link, size)
+    opened = written(met.select("a", "of", "open", "b").distinct())
+    heads = sets.select("doc_id", "n", F.col("head").alias("tokens"))
+
+    # one member of each open group first, that of the rarest shared key: a link makes the two groups one, and what else is open between them is settled
+    first = opened.select("a", "b")
+    near = _compared(_compared(first, heads, heads_may_link), docs, sets_link, size)
+    joined = written(components(opened.join(near, ["a", "b"]).select(F.col("of").alias("src"), F.col("open").alias("dst"))))
+    root = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
+    left = opened.select("a", "of", "open").join(root("of"), "of", "left").join(root("open"), "open", "left").where("not coalesce(of_root, of) <=> coalesce(open_root, open)")
+
+    # then the members that share a prefix key of the query; the smaller set needs it in its shorter prefix
+    asks = rows.select("token", F.col("doc").alias("a"), "n", "inner", "own").join(written(left.select("a", "open").distinct()), "a")
+    other = rows.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("grp").alias("open"), F.col("inner").alias("inner_b"), F.col("own").alias("own_b"))
+    both = f"5 * least(n, m) >= 4 * greatest(n, m) and (n > m or inner) and (n < m or inner_b) and own <= {_DIFFERENCES.format(n='n', m='m')} and own_b <= {_DIFFERENCES.format(n='m', m='n')}"
+    pairs = asks.join(other, ["token", "open"]).where(both).select("a", "b").distinct()
+    more = _compared(_compared(pairs, heads, heads_may_link), docs, sets_link, size).unionByName(near)
     links = groups.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     classes = components(links.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
 

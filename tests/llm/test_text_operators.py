@@ -557,3 +557,16 @@ def test_rare_classes_are_judged_by_wider_ones(spark):
     short = spark.createDataFrame([(f"getAccountReport{k}Final{2000 + k}",) for k in range(40)], "value string")  # nothing of their length
     assert {r["id"] for r in secrets.random_strings(strings, short).collect()} == set(range(5))
     assert secrets.random_strings(strings, short.limit(3)).count() == 0
+
+
+def test_jaccard_pairs_meet_within_opened_groups(spark, monkeypatch):
+    """Members are met by key and group at once: no join makes rows of pairs whose group stays closed, or of each key before a filter."""
+    plans, write = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base[:58] + ["x", "y"]), " ".join(base[:30] + [f"z{i}" for i in range(30)]), " ".join(base[2:])]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.shingle_classes(documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 0}
+    assert any("open" in p for p in plans)
+    assert not any("LeftSemi" in line and "open" in line for p in plans for line in p.splitlines())
+    assert any("Join Inner" in line and "token" in line and "(open#" in line for p in plans for line in p.splitlines())
