@@ -570,3 +570,13 @@ def test_jaccard_pairs_meet_within_opened_groups(spark, monkeypatch):
     assert any("open" in p for p in plans)
     assert not any("LeftSemi" in line and "open" in line for p in plans for line in p.splitlines())
     assert any("Join Inner" in line and "token" in line and "(open#" in line for p in plans for line in p.splitlines())
+
+
+def test_background_holds_words_of_every_text(spark):
+    """No text is left out of what ordinary identifiers score; a piece that one text alone has doesn't count, nor do copies."""
+    code = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(3))
+    texts = [(i, f"zq{code(i % 1_300)}xj ordinary words follow " + ("here" if i < 1_300 else "there")) for i in range(2_600)]
+    values = [r["value"] for r in secrets.background(documents(spark, texts + [(9_999, "zqownpiecexj here")])).collect()]
+    whole = " ".join(values).lower()
+    assert sum(f"zq{code(i)}" in whole for i in range(1_300)) > 1_200 and "ownpiece" not in whole
+    assert sorted(r["value"] for r in secrets.background(documents(spark, texts + texts[:50])).collect()) == sorted(values)
