@@ -99,3 +99,18 @@ def test_topics(spark):
     assert len(js) == 6 and all(math.isclose(v, brute(words[a], words[b]), abs_tol=1e-12) for (a, b), v in js.items())
     merged = {r["topic"]: r["merged"] for r in topics.merged_topics(of, 0.25).collect()}
     assert merged == {"a": "a", "b": "a", "c": "c", "d": "d"}
+
+
+def test_coherence_counts_each_text_once_without_exchanging_words(spark, monkeypatch):
+    """One pass by words and pairs equals the joined way, which texts that share a key take; it exchanges no rows of texts."""
+    of = spark.createDataFrame([("s", "x", 3.0), ("s", "y", 2.0), ("t", "y", 5.0), ("t", "z", 1.0), ("u", "q", 1.0)], "topic string, word string, weight double")
+    texts = spark.createDataFrame([(1, "x y"), (2, "x y z"), (3, "y z"), (4, "x"), (5, ""), (6, None)], "id long, text string")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    one_pass = topics.coherence(of, texts, "id", words)
+    assert "MapInPandas" not in one_pass._jdf.queryExecution().optimizedPlan().toString() and "split" not in one_pass._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["topic"]: (r["pairs"], r["coherence"]) for r in one_pass.collect()}
+    monkeypatch.setattr(topics, "FEW", 0)
+    assert got == {r["topic"]: (r["pairs"], r["coherence"]) for r in topics.coherence(of, texts, "id", words).collect()} == {"s": (1, 2 * 4 / 9), "t": (1, 2 * 4 / 6)}
+    monkeypatch.setattr(topics, "FEW", 1_000)
+    shared = topics.coherence(of, spark.createDataFrame([(1, "x"), (1, "y"), (2, "x y")], "id long, text string"), "id", words)
+    assert [tuple(r) for r in shared.where("topic = 's'").collect()] == [("s", 1, 2 * 3 / 4)]
