@@ -12,8 +12,8 @@ of the first ``allowed(n)`` + 1 keys of each.
    Most copies end up in one group at a linear number of comparisons.
 3. Token-group matrix. Each group's union of prefix keys is a column: (token, group). A token of one
    group only needs no more work.
-4. Queries. A document meets the groups of more documents than its own through its prefix, where sizes allow a link. The keys
-   of its prefix that the group's union lacks are differences from every member; a group beyond the allowed number stays closed.
+4. Queries. A document meets the groups of more documents than its own through its prefix, where sizes allow a link. Up to the group's
+   reach (the least last key of its members' prefixes), keys that the union lacks are differences from every member; a group beyond the allowed number stays closed.
 5. One member of each open group is compared first; a link settles all between the two groups. For what is left, the members that share a prefix key are compared by the first quarter of their keys, and by
    their whole sets where those leave it open.
 
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import UPPER, components, discard, table, written
+from llm.common import UPPER, components, discard, shuffles_cleaned, table, written
 
 WORDS, CACHE, TOGETHER, PARTNERS, SLOTS = 5, 200_000, 1 << 16, 64, 1 << 23
 #: Documents that have a token from which each level begins; share of tokens counted first; tokens on either side; slots of a level's map.
@@ -329,6 +329,11 @@ def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int,
     Texts that are null or have no words have the empty set, which links with nothing; their class is their own id. Rows with a null id
     get a null class. Rows that repeat an id are one node. Columns other than ``doc_id`` and ``text`` aren't read.
     """
+    with shuffles_cleaned(documents.sparkSession):
+        return _classes(documents, size, levels)
+
+
+def _classes(documents: DataFrame, size: int, levels: tuple[int, ...]) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = documents.sparkSession
     sketches = written(_sketches(docs, size, spark.sparkContext.broadcast(_levels(docs, size, levels))))
@@ -352,17 +357,19 @@ def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int,
 
     # the matrix, of tokens that more than one group has; a set with more keys of its own than the smallest set there allows has no link by that token
     member = written(member)
+    discard(posts, sizes, weighed)
     spread = member.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("n").alias("least")).where("low <> high").select("token", "least")
     rows = written(member.join(written(spread), "token").where(f"own <= {_DIFFERENCES.format(n='n', m='greatest(least, (4 * n + 4) div 5)')}").drop("least"))
     discard(member)
     reach = written(rows.groupBy("grp").agg(F.min("last").alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("own").alias("least_own"), F.first("weight").alias("heavy")))
-    union = written(rows.groupBy("token", F.col("grp").alias("open")).agg(F.min("doc").alias("b")).join(reach.withColumnRenamed("grp", "open"), "open").where("token <= reach"))
+    union = written(rows.groupBy("token", F.col("grp").alias("open")).agg(F.min("doc").alias("b")).join(reach.withColumnRenamed("grp", "open"), "open"))
 
     # queries against groups of more documents that may link: those that lack more of the query's prefix than a link allows stay closed
-    asking = rows.select("token", F.col("doc").alias("a"), F.col("grp").alias("of"), "n", "own", "weight")
+    asking = rows.select("token", F.col("doc").alias("a"), F.col("grp").alias("of"), "n", "inner", "own", "weight")
     differ = _DIFFERENCES.format(n="n", m="greatest(least, (4 * n + 4) div 5)")
     fit = f"(weight < heavy or (weight = heavy and of < open)) and 4 * n <= 5 * most and 5 * n >= 4 * least and own <= {differ} and least_own <= {_DIFFERENCES.format(n='most', m='n')}"
-    met = asking.join(union, "token").where(fit).groupBy("a", "open").agg(F.count("*").alias("common"), F.first("reach").alias("reach"), F.first("least").alias("least"), F.first("of").alias("of"), F.min(F.struct("token", "b"))["b"].alias("b"))
+    shares = written(asking.join(union, "token").where(fit).select("token", "a", "of", "open", "n", "inner", "own", "reach", "least", "b"))
+    met = shares.groupBy("a", "open").agg(F.count_if(F.col("token") <= F.col("reach")).alias("common"), F.first("reach").alias("reach"), F.first("least").alias("least"), F.first("of").alias("of"), F.min(F.struct("token", "b"))["b"].alias("b"))
     # keys of the query's prefix up to there: (steps passed - 1) * step + 1 at least
     within = (F.size(F.filter("steps", lambda t: t <= F.col("reach"))) - 1) * F.col("step") + 1
     met = met.join(ends.withColumnRenamed("doc", "a"), "a").where(within - F.col("common") <= F.expr(differ))
@@ -376,8 +383,8 @@ def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int,
     root = lambda c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
     left = opened.select("a", "of", "open").join(root("of"), "of", "left").join(root("open"), "open", "left").where("not coalesce(of_root, of) <=> coalesce(open_root, open)")
 
-    # then the members that share a prefix key of the query; the smaller set needs it in its shorter prefix
-    asks = rows.select("token", F.col("doc").alias("a"), "n", "inner", "own").join(written(left.select("a", "open").distinct()), "a")
+    # then the members that share a prefix key of the query; the smaller set needs it in its shorter prefix. Only keys that the group has are asked for
+    asks = shares.select("token", "a", "open", "n", "inner", "own").join(written(left.select("a", "open").distinct()), ["a", "open"])
     other = rows.select("token", F.col("doc").alias("b"), F.col("n").alias("m"), F.col("grp").alias("open"), F.col("inner").alias("inner_b"), F.col("own").alias("own_b"))
     both = f"5 * least(n, m) >= 4 * greatest(n, m) and (n > m or inner) and (n < m or inner_b) and own <= {_DIFFERENCES.format(n='n', m='m')} and own_b <= {_DIFFERENCES.format(n='m', m='n')}"
     pairs = asks.join(other, ["token", "open"]).where(both).select("a", "b").distinct()

@@ -17,7 +17,6 @@ An n-gram is known by a 64-bit hash of 63-bit word hashes (of 10 billion differe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -25,9 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import UPPER, commonest, discard, table, written
+from llm.common import UPPER, commonest, discard, shuffles_cleaned, table, written
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ORDER, LEAST, ALPHA, HOT, SAMPLE_ONE_IN, CACHE, TOGETHER = 3, 1, 0.4, 1 << 18, 32, 200_000, 1 << 16
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
@@ -275,17 +273,6 @@ def backoff_scores(documents: DataFrame, corpus: DataFrame | None = None, order:
     return _open_scores(docs, counts, tokens, order, least, alpha)
 
 
-@contextmanager
-def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
-    """Within it, Spark deletes the shuffle files of each written table once that is written."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
-
-
 def _repeated(docs: DataFrame, n: int, keys: np.ndarray, least: int) -> DataFrame:
     """``doc, gram, count``: each document's n-grams of ``n`` words that occur ``least`` times or more in all texts and aren't among ``keys``."""
     shared = docs.sparkSession.sparkContext.broadcast(keys)
@@ -316,7 +303,7 @@ def _returned_scores(documents: DataFrame, order: int, least: int, alpha: float)
     keyed = docs.select(F.col("key").alias("doc"), "text")
     keys = _commonest(keyed, order, HOT, "doc")
     counts, tokens = _hot_counts(keyed, order, keys)
-    with _shuffles_cleaned(documents.sparkSession):
+    with shuffles_cleaned(documents.sparkSession):
         levels = [written(_repeated(keyed, n, keys, least if n > 1 else 2)) for n in range(order, 0, -1)]
     every = levels[0]
     for level in levels[1:]:

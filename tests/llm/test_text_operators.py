@@ -10,7 +10,6 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-
 from llm import decontamination, html_extract, jaccard, language_model, packing, pii, quality, secrets, toxicity
 from llm.common import components
 
@@ -572,6 +571,38 @@ def test_jaccard_pairs_meet_within_opened_groups(spark, monkeypatch):
     assert any("Join Inner" in line and "token" in line and "(open#" in line for p in plans for line in p.splitlines())
 
 
+def test_jaccard_asks_for_no_key_that_the_group_lacks(spark, monkeypatch):
+    """Queries take their keys from those met in the union: none is multiplied by the groups that are open for it."""
+    plans, write = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base[:58] + ["x", "y"]), " ".join(base[:30] + [f"z{i}" for i in range(30)]), " ".join(base[2:])]
+    jaccard.shingle_classes(documents(spark, list(enumerate(texts)))).collect()
+    asked = [line for p in plans for line in p.splitlines() if "Join Inner" in line and "(open#" in line and "(a#" in line]
+    assert asked and not any("own" in p and re.search(r"Join Inner, \(a#\d+L? = a#\d+L?\)", p) and "inner" in p for p in plans)
+
+
+def test_jaccard_links_by_keys_beyond_the_reach_of_a_group(spark):
+    """A group's least last key may lie below all keys that a query shares with a member: the group is met all the same."""
+    words = sorted((f"w{i}" for i in range(400)), key=lambda w: next(jaccard.Shingles(1).of([w]))[0])
+    low, rest, high = words[:19], words[100:181], words[300:]
+    member, least = low[:9] + rest, low + rest[10:]
+    query = rest + high[:9]
+    pull = rest[:20] + words[181:251]  # named by the query's keys, and linked with nothing
+    texts = [(1, " ".join(query)), (2, " ".join(member)), (3, " ".join(least))] + [(4 + i, " ".join(pull[:20] + pull[20 + 10 * i :] + high[10 + 10 * i : 20 + 10 * i])) for i in range(2)]
+    expect = classes_of_words(texts)
+    assert expect[1] == expect[2] == expect[3] == 1
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.shingle_classes(documents(spark, texts), size=1).collect()} == expect
+
+
+def classes_of_words(texts):
+    sets, root = {i: set(t.split()) for i, t in texts}, {i: i for i, _ in texts}
+    for _ in texts:
+        for i, s in sets.items():
+            root[i] = min(root[j] for j, t in sets.items() if 100 * len(s & t) >= 80 * len(s | t))
+    return root
+
+
 def test_background_holds_words_of_every_text(spark):
     """No text is left out of what ordinary identifiers score; a piece that one text alone has doesn't count, nor do copies."""
     code = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(3))
