@@ -9,15 +9,18 @@ sum of the natural logs over its words.
 2. The count table sums ``m`` by gram; tables and exploded n-grams are dealt out by the gram's hash, in one exchange.
 3. Counts are joined to the exploded n-grams, and ``w * log(count)`` is summed by document.
 
-The counts of the HOT n-grams that are commonest in one text in SAMPLE_ONE_IN come first, over all texts; that table of
+Where rare n-grams don't count (LEAST above 1, as in the query) whole chunks of texts are dealt with instead: see ``_returned_scores``.
+
+In 1 to 3 the counts of the HOT n-grams that are commonest in one text in SAMPLE_ONE_IN come first, over all texts; that table of
 fixed size is broadcast, and its n-grams are scored where they are exploded, so no key holds a large share of the exchange.
 An n-gram is known by a 64-bit hash of 63-bit word hashes (of 10 billion different n-grams about three pairs share one).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from llm.common import UPPER, commonest, discard, shuffles_cleaned, table, written
 
 ORDER, LEAST, ALPHA, HOT, SAMPLE_ONE_IN, CACHE, TOGETHER = 3, 1, 0.4, 1 << 18, 32, 200_000, 1 << 16
+#: Words of a chunk of texts, and n-grams of a range of keys at most.
+CHUNK, PART = 1 << 20, 1 << 21
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
@@ -142,8 +147,8 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
 
 
-def _commonest(docs: DataFrame, order: int, most: int, by: str = "text") -> np.ndarray:
-    """The keys, sorted, of the ``most`` commonest n-grams of the sampled texts (sampled by their own hash, or that of another column)."""
+def _commonest(docs: DataFrame, order: int, most: int) -> np.ndarray:
+    """The keys, sorted, of the ``most`` commonest n-grams of the sampled texts (sampled by their own hash)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -151,7 +156,7 @@ def _commonest(docs: DataFrame, order: int, most: int, by: str = "text") -> np.n
             key, n = np.unique(weighted(*words.of(*texts), order)[1], return_counts=True)
             yield pd.DataFrame({"gram": key, "n": n})
 
-    picked = docs.where(F.pmod(F.xxhash64(by), F.lit(SAMPLE_ONE_IN)) == 0)
+    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE_ONE_IN)) == 0)
     return commonest(picked.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "gram", most)
 
 
@@ -273,74 +278,118 @@ def backoff_scores(documents: DataFrame, corpus: DataFrame | None = None, order:
     return _open_scores(docs, counts, tokens, order, least, alpha)
 
 
-def _repeated(docs: DataFrame, n: int, keys: np.ndarray, least: int) -> DataFrame:
-    """``doc, gram, count``: each document's n-grams of ``n`` words that occur ``least`` times or more in all texts and aren't among ``keys``."""
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers by their bytes of equal rank, so that zeros stand together and compress."""
+    return np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _chunks(docs: DataFrame, size: int) -> DataFrame:
+    """A row for each ``size`` words of whole texts: ``chunk`` (its number), ids and sizes of its texts, its words, and each place's word among them."""
+
+    def row(docs: list, known: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pd.DataFrame:
+        words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
+        one = {"chunk": uuid.uuid4().int >> 65, "n": len(codes), "docs": packed(np.concatenate(docs)), "known": packed(np.concatenate(known)), "sizes": packed(np.concatenate(sizes)), "words": words.tobytes(), "codes": packed(codes)}
+        return pd.DataFrame([one])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, places = Words(), Places(shared.value)
-        for docs, texts in together(batches):
-            w, sizes = words.of(*texts)
-            text = np.repeat(np.arange(len(sizes)), sizes)
-            key = grams(w, n)
-            inside = text[: len(key)] == text[n - 1 :][: len(key)]
-            inside[inside] = places.of(key[inside]) < 0
-            yield pd.DataFrame({"gram": key[inside], "doc": np.array(docs, np.int64)[text[: len(key)][inside]]})
+        words, held, n = Words(), [], 0
+        for batch in batches:
+            for at in range(0, len(batch), 256):  # texts of one batch are no more than BATCH_BYTES or one long text
+                part = batch.iloc[at : at + 256]
+                hashes, sizes = words.of(*part["text"])
+                held.append((part["doc"].to_numpy(np.int64), part["known"].to_numpy(bool), hashes, sizes))
+                n += len(hashes)
+                if n >= size:
+                    yield row(*map(list, zip(*held, strict=True)))
+                    held, n = [], 0
+        if held:
+            yield row(*map(list, zip(*held, strict=True)))
+
+    given = docs.select(F.coalesce("doc", F.lit(0)).alias("doc"), F.col("doc").isNotNull().alias("known"), "text")
+    return given.mapInPandas(run, "chunk long, n long, docs binary, known binary, sizes binary, words binary, codes binary")
+
+
+def _places(row, orders: Iterable[int]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Of a row of chunks: each place's text, and for every n of ``orders`` the places where n-grams begin and their keys."""
+    words = np.frombuffer(row.words, np.uint64)[unpacked(row.codes)]
+    text = np.repeat(np.arange(len(row.sizes) // 8), unpacked(row.sizes))
+    starts, keys = [], []
+    for n in orders:
+        k = max(0, len(words) - n + 1)
+        inside = text[:k] == text[n - 1 : n - 1 + k]
+        starts.append(np.flatnonzero(inside))
+        keys.append(grams(words, n)[inside])
+    return text, starts, keys
+
 
-    dealt = docs.mapInPandas(run, "gram long not null, doc long not null").repartition("gram")
-    counted = dealt.withColumn("count", F.expr("count(*) OVER (PARTITION BY gram)")).where(F.col("count") >= least)
-    return counted.select("doc", "gram", "count")
+def _counted(chunks: DataFrame, n: int, parts: int) -> DataFrame:
+    """``chunk, part, totals``: how often each n-gram of n words of a chunk occurs in all, by ranges (``part``) of the keys and in their order.
+
+    A chunk sends each of its n-grams once, with its number there, so that a common one has no more rows than there are chunks.
+    """
+    bounds = np.array([-(1 << 63) + i * ((1 << 64) // parts) for i in range(1, parts)], np.int64)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                keys, m = np.unique(_places(row, [n])[2][0], return_counts=True)
+                ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+                rows = [(row.chunk, p, packed(np.diff(keys[i:j], prepend=np.int64(0))), packed(m[i:j])) for p, (i, j) in enumerate(pairwise(ends)) if i < j]
+                yield pd.DataFrame(rows, columns=["chunk", "part", "keys", "m"])
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.cumsum(unpacked(k)) for k in group["keys"]]
+        place = np.unique(np.concatenate(keys), return_inverse=True)[1]
+        totals = np.bincount(place, np.concatenate([unpacked(m) for m in group["m"]])).astype(np.int64)[place]
+        ends = np.cumsum([len(k) for k in keys])
+        return pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "totals": [packed(t) for t in np.split(totals, ends[:-1])]})
+
+    dealt = chunks.select("chunk", "sizes", "words", "codes").mapInPandas(deal, "chunk long, part int, keys binary, m binary")
+    return dealt.groupBy("part").applyInPandas(count, "chunk long, part int, totals binary")
 
 
 def _returned_scores(documents: DataFrame, order: int, least: int, alpha: float) -> DataFrame:
     """Scores of texts under their own counts where n-grams of fewer than ``least`` occurrences aren't counted, so that words back off.
 
-    One order after the other, n-grams are exploded, dealt out by hash and counted; those that occur often enough go back to their documents with their counts,
-    all others are known by their absence. Then each document's words are scored with the counts that it holds.
+    Texts are put together in chunks of CHUNK words. A chunk's distinct n-grams with their numbers are dealt out by ranges of the keys, where they are summed;
+    the sums go back to the chunk in the order of its keys, and each place is scored with the counts that it finds.
     """
-    docs = _texts(documents)
-    docs = docs.withColumn("key", F.coalesce("doc", F.xxhash64("text")))  # rows without an id are counted like others
-    keyed = docs.select(F.col("key").alias("doc"), "text")
-    keys = _commonest(keyed, order, HOT, "doc")
-    counts, tokens = _hot_counts(keyed, order, keys)
-    with shuffles_cleaned(documents.sparkSession):
-        levels = [written(_repeated(keyed, n, keys, least if n > 1 else 2)) for n in range(order, 0, -1)]
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    held = every.groupBy(F.col("doc").alias("_key")).agg(F.collect_set(F.struct("gram", "count")).alias("held"))  # a document's own n-grams at most
-    shared = docs.sparkSession.sparkContext.broadcast((keys, np.maximum(counts, 1)))
-    absent = 0 if least > 1 else 1  # how often an n-gram that nothing is known of occurs, as far as it counts
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, places, hot = Words(), Places(shared.value[0]), shared.value[1]
-        for batch in batches:
-            out = []
-            for doc, text, grams_, counts_ in zip(batch["doc"].astype("Int64"), batch["text"], batch["grams"], batch["counts"], strict=True):
-                w = words.of(text)[0]
-                own = Places(np.asarray(grams_, np.int64), bits=8) if grams_ is not None else None
-                score, before, backed = np.full(len(w), -np.log(max(1, tokens))), None, 0
-                for n in range(1, min(order, len(w)) + 1):
-                    key = grams(w, n)
-                    at = places.of(key)
-                    c = np.where(at >= 0, hot[at] if len(hot) else 0, 1 if n == 1 else absent)
-                    if own is not None:
-                        mine = own.of(key)
-                        c = np.where((at < 0) & (mine >= 0), np.asarray(counts_, np.int64)[mine], c)
-                    if n == 1:
-                        score += np.log(c)
-                    else:
-                        seen = c >= max(1, least)
-                        backed += int((~seen).sum())
-                        score[n - 1 :] = np.where(seen, np.log(np.maximum(c, 1)) - np.log(np.maximum(before[: len(c)], 1)), np.log(alpha) + score[n - 1 :])
-                    before = c
-                out.append((doc, len(w), float(score.sum()), backed))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "part", "backed"]).astype({"doc_id": "Int64"})
-
-    lists = held.select("_key", F.array_sort("held").alias("held")).select("_key", F.col("held.gram").alias("grams"), F.col("held.count").alias("counts"))
-    scored = docs.join(lists, F.col("key") == F.col("_key"), "left").select("doc", "text", "grams", "counts").mapInPandas(run, "doc_id long, n long, part double, backed long")
-    out = written(scored.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("part").alias("score"), F.sum("backed").alias("n_backed")))
-    discard(*levels)
+    spark = documents.sparkSession
+    with shuffles_cleaned(spark):
+        chunks = written(_chunks(_texts(documents), CHUNK))
+        tokens = chunks.agg(F.sum("n")).first()[0] or 0
+        levels = [written(_counted(chunks, n, max(1, -(-tokens // PART))).withColumn("n", F.lit(n))) for n in range(order, 0, -1)]  # one after the other, so that one order's exchange is on disk
+        totals = levels[0]
+        for level in levels[1:]:
+            totals = totals.unionByName(level)
+
+        def score(chunk: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+            row = next(chunk.itertuples())
+            text, starts, keys = _places(row, range(1, order + 1))
+            parts, counts = parts.sort_values("part"), []
+            for n, key in enumerate(keys, 1):
+                found = [np.empty(0, np.int64), *map(unpacked, parts.loc[parts["n"] == n, "totals"])]
+                counts.append(np.concatenate(found)[np.unique(key, return_inverse=True)[1]])
+            size = len(row.sizes) // 8
+            value, backed, before = np.log(counts[0]) - np.log(max(1, tokens)), np.zeros(size, np.int64), counts[0]
+            for n in range(2, order + 1):
+                at, c = starts[n - 1], counts[n - 1]
+                seen = c >= max(1, least)
+                backed += np.bincount(text[at[~seen]], minlength=size)
+                value[at + n - 1] = np.where(seen, np.log(c) - np.log(before[at]), np.log(alpha) + value[at + n - 1])
+                before = np.zeros(len(text), np.int64)
+                before[at] = c
+            known = unpacked(row.known) == 1
+            return pd.DataFrame({"doc": unpacked(row.docs), "known": known, "n": unpacked(row.sizes), "part": np.bincount(text, value, size), "backed": backed})
+
+        scored = chunks.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInPandas(score, "doc long, known boolean, n long, part double, backed long")
+        doc = F.when(F.col("known"), F.col("doc")).alias("doc_id")
+        out = written(scored.groupBy(doc).agg(F.sum("n").alias("n_words"), F.sum("part").alias("score"), F.sum("backed").alias("n_backed")))
+    discard(chunks, *levels)
     return out
 
 

@@ -528,6 +528,19 @@ def test_the_query_of_scores_backs_off(spark):
     assert words < backed < 2 * words  # about one step to a shorter context for each word
 
 
+def test_chunks_send_each_ngram_once(spark, monkeypatch):
+    """Scores are those of the whole corpus however texts are put together, and no table has a row for each document and n-gram."""
+    monkeypatch.setattr(language_model, "CHUNK", 2_000)
+    monkeypatch.setattr(language_model, "PART", 4_000)
+    tables, write = [], language_model.written
+    monkeypatch.setattr(language_model, "written", lambda df: tables.append(write(df)) or (tables[-1].count() < 1_000 or pytest.fail("a row for each n-gram")) and tables[-1])
+    texts = sample(spark, 60) + EDGES + [(None, "no id one two"), (None, "no id one three")]
+    expect, n_words = backoff(texts, texts, 3, 2)
+    got = {r["doc_id"]: r for r in language_model.backoff_scores(documents(spark, texts), least=2).collect()}
+    assert set(got) == set(expect) and sum(n_words.values()) > 10_000
+    assert all(math.isclose(r["score"], expect[i], rel_tol=1e-9, abs_tol=1e-6) and r["n_words"] == n_words[i] for i, r in got.items())
+
+
 def test_curves_never_fall():
     rng = np.random.default_rng(8)
     y = (rng.random(300) < 0.3).astype(float)
