@@ -31,7 +31,7 @@ from llm.common import UPPER, commonest, discard, shuffles_cleaned, table, writt
 
 ORDER, LEAST, ALPHA, HOT, SAMPLE_ONE_IN, CACHE, TOGETHER = 3, 1, 0.4, 1 << 18, 32, 200_000, 1 << 16
 #: Words of a chunk of texts, and n-grams of a range of keys at most.
-CHUNK, PART = 1 << 20, 1 << 21
+CHUNK, PART = 1 << 19, 1 << 20
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 
@@ -278,13 +278,13 @@ def backoff_scores(documents: DataFrame, corpus: DataFrame | None = None, order:
     return _open_scores(docs, counts, tokens, order, least, alpha)
 
 
-def packed(values: np.ndarray) -> bytes:
+def packed(values: np.ndarray, kind: str = "<i8") -> bytes:
     """Whole numbers by their bytes of equal rank, so that zeros stand together and compress."""
-    return np.ascontiguousarray(values.astype("<i8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+    return np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(-1, int(kind[2:])).T.tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+def unpacked(data: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(int(kind[2:]), -1).T).view(kind).ravel()
 
 
 def _chunks(docs: DataFrame, size: int) -> DataFrame:
@@ -292,7 +292,7 @@ def _chunks(docs: DataFrame, size: int) -> DataFrame:
 
     def row(docs: list, known: list, hashes: list[np.ndarray], sizes: list[np.ndarray]) -> pd.DataFrame:
         words, codes = np.unique(np.concatenate(hashes), return_inverse=True)
-        one = {"chunk": uuid.uuid4().int >> 65, "n": len(codes), "docs": packed(np.concatenate(docs)), "known": packed(np.concatenate(known)), "sizes": packed(np.concatenate(sizes)), "words": words.tobytes(), "codes": packed(codes)}
+        one = {"chunk": uuid.uuid4().int >> 65, "n": len(codes), "docs": packed(np.concatenate(docs)), "known": packed(np.concatenate(known)), "sizes": packed(np.concatenate(sizes)), "words": words.tobytes(), "codes": packed(codes, "<u4")}
         return pd.DataFrame([one])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,7 +315,7 @@ def _chunks(docs: DataFrame, size: int) -> DataFrame:
 
 def _places(row, orders: Iterable[int]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """Of a row of chunks: each place's text, and for every n of ``orders`` the places where n-grams begin and their keys."""
-    words = np.frombuffer(row.words, np.uint64)[unpacked(row.codes)]
+    words = np.frombuffer(row.words, np.uint64)[unpacked(row.codes, "<u4")]
     text = np.repeat(np.arange(len(row.sizes) // 8), unpacked(row.sizes))
     starts, keys = [], []
     for n in orders:
@@ -338,13 +338,13 @@ def _counted(chunks: DataFrame, n: int, parts: int) -> DataFrame:
             for row in batch.itertuples():
                 keys, m = np.unique(_places(row, [n])[2][0], return_counts=True)
                 ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-                rows = [(row.chunk, p, packed(np.diff(keys[i:j], prepend=np.int64(0))), packed(m[i:j])) for p, (i, j) in enumerate(pairwise(ends)) if i < j]
+                rows = [(row.chunk, p, packed(np.diff(keys[i:j], prepend=np.int64(0))), packed(m[i:j], "<u4")) for p, (i, j) in enumerate(pairwise(ends)) if i < j]
                 yield pd.DataFrame(rows, columns=["chunk", "part", "keys", "m"])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(unpacked(k)) for k in group["keys"]]
         place = np.unique(np.concatenate(keys), return_inverse=True)[1]
-        totals = np.bincount(place, np.concatenate([unpacked(m) for m in group["m"]])).astype(np.int64)[place]
+        totals = np.bincount(place, np.concatenate([unpacked(m, "<u4") for m in group["m"]])).astype(np.int64)[place]
         ends = np.cumsum([len(k) for k in keys])
         return pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "totals": [packed(t) for t in np.split(totals, ends[:-1])]})
 
