@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.common import commonest, table, written
+from llm.common import commonest, shuffles_cleaned, table, written
 
 WINDOW, HOT, SAMPLE_ONE_IN, CACHE, TOGETHER = 13, 1 << 18, 32, 200_000, 1 << 17
 BASE = 0x9E3779B97F4A7C15
@@ -140,9 +140,10 @@ def repeated_passages(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     An empty table gives none.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    hot = _hot(docs, window, HOT)
     first = F.expr("min(doc) OVER (PARTITION BY window)")
-    later = written(_exploded(docs, window, hot).repartition("window").withColumn("first", first).where("hot OR first < doc"))
+    with shuffles_cleaned(docs.sparkSession):  # the exchange of windows is the largest, and gone before texts are dealt out
+        exploded = _exploded(docs, window, _hot(docs, window, HOT)).repartition("window")
+        later = written(exploded.withColumn("first", first).where("hot OR first < doc").withColumn("first", F.expr("if(hot, first, null)")))
     firsts = later.where("hot").groupBy("window").agg(F.min("first").alias("first")).toPandas().sort_values("window")  # HOT rows at most
     shared = docs.sparkSession.sparkContext.broadcast((firsts["window"].to_numpy(np.int64), firsts["first"].to_numpy(np.int64)))
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from llm import divergence, substrings, whitening
+from llm.common import CLEANUP
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -58,6 +59,15 @@ def test_repeated_passages(spark, monkeypatch, seed, hot):
         assert r["n_removed"] == sum(s["end"] - s["start"] for s in r["intervals"]) and hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_the_exchange_of_windows_is_deleted_once_written(spark, monkeypatch):
+    """Windows are written while Spark deletes the shuffle files of what is written; the session's own choice is as before afterwards (op11_substring_dedup)."""
+    write, chosen, before = substrings.written, [], spark.conf.get(CLEANUP, None)
+    monkeypatch.setattr(substrings, "written", lambda df: chosen.append(spark.conf.get(CLEANUP, None)) or write(df))
+    rows = passages(3)
+    assert substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert chosen == ["true"] and spark.conf.get(CLEANUP, None) == before
+
+
 def test_repeated_passages_of_an_empty_table(spark):
     assert substrings.repeated_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
