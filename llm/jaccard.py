@@ -9,7 +9,8 @@ of the first ``allowed(n)`` + 1 keys of each.
    Maps of fixed size hold the result. They only order the keys: any order gives the same links.
 2. Groups. The leader of a prefix key is the document of the most shared keys that has it: of near copies, the one with
    the fewest changes. Documents are compared with the leader that most of their keys name; links make groups.
-   Most copies end up in one group at a linear number of comparisons.
+   Most copies end up in one group at a linear number of comparisons. Where a key still has many groups (its leader was an outlier among the
+   copies), those who have it are compared with further leaders, round by round, as long as that helps.
 3. Token-group matrix. Each group's union of prefix keys is a column: (token, group). A token of one
    group only needs no more work.
 4. Queries. A document meets the groups of more documents than its own through its prefix, where sizes allow a link. Up to the group's
@@ -38,6 +39,8 @@ WORDS, CACHE, TOGETHER, PARTNERS, SLOTS = 5, 200_000, 1 << 16, 64, 1 << 23
 LEVELS, ONE_IN, NEAR, LEVEL_SLOTS = (48, 384, 3072), 8, 24, 1 << 25
 #: One shared key in so many names leaders; marks on a prefix.
 LEADING, MARKS = 2, 16
+#: A key of more groups is crowded; pairs of groups that such keys may have for each row of the matrix before groups get further leaders, and rounds of that at most.
+CROWD, PAIRS_A_ROW, ROUNDS = 32, 3, 6
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
@@ -323,6 +326,26 @@ def _leaders(posts: DataFrame) -> DataFrame:
     return out
 
 
+def _further_leaders(rows: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """``doc, leader`` of other groups: of all who have a crowded key the one of the fewest other keys, and the one of the most crowded keys; none of ``tried``.
+
+    rows: ``token, doc, n, own, grp`` of crowded keys. A document asks the leader of each kind that most of its keys name and that its size may link to.
+    """
+    central = rows.groupBy("doc").agg(F.count("*").alias("n_keys"), F.first("n").alias("m"), F.first("own").alias("own"), F.first("grp").alias("led"))
+    central = written(central if tried is None else central.join(tried.withColumnRenamed("leader", "doc"), "doc", "left_anti"))
+    less = (-F.col("doc")).alias("less")
+    pure = F.max(F.struct(((F.col("n_keys") - F.col("own")) / (F.col("m") - F.expr("(4 * m + 4) div 5") + 1)).alias("share"), "n_keys", less, "m", "led"))
+    most = F.max(F.struct("n_keys", (-F.col("own")).alias("few"), less, "m", "led"))
+    named = rows.select("token", "doc").join(central, "doc").groupBy("token").agg(pure.alias("pure"), most.alias("most"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), (-F.col(f"{k}.less")).alias("leader"), F.col(f"{k}.m").alias("m"), F.col(f"{k}.led").alias("led")) for k in ("pure", "most"))))
+    named = written(named.select("token", kinds.alias("k")).select("token", "k.*"))
+    votes = rows.join(named, "token").where("grp <> led and 5 * least(n, m) >= 4 * greatest(n, m)").groupBy("doc", "kind", "leader").agg(F.count("*").alias("n_votes"))
+    best = votes.groupBy("doc", "kind").agg(F.max(F.struct("n_votes", (-F.col("leader")).alias("less"))).alias("m"))
+    out = written(best.select("doc", (-F.col("m.less")).alias("leader")).distinct())
+    discard(central, named)
+    return out
+
+
 def shingle_classes(documents: DataFrame, size: int = WORDS, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of documents.
 
@@ -348,21 +371,35 @@ def _classes(documents: DataFrame, size: int, levels: tuple[int, ...]) -> DataFr
     # groups
     close = _leaders(posts).join(ends.select("doc", "n"), "doc").where(f"{2 * LEADING} * n_votes >= n div 5 - n div 9")  # half of what is left of a prefix that has as many keys of its own as a link allows
     linked = _compared(close.select(F.col("leader").alias("a"), F.col("doc").alias("b")), docs, sets_link, size)
-    groups = components(linked.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     # keys of the prefix that no other document has: differences from every set
     own = F.expr("n - (4 * n + 4) div 5 + 1") - F.col("n_shared")
     sizes = written(posts.groupBy("doc").agg(F.count("*").alias("n_shared")).join(ends, "doc").select("doc", "n", "last", own.alias("own")))
-    weighed = written(groups.join(groups.groupBy("component").agg(F.count("*").alias("weight")), "component").select(F.col("node").alias("doc"), "component", "weight"))
-    member = posts.join(sizes, "doc").join(weighed, "doc", "left").withColumns({"grp": F.coalesce("component", "doc"), "weight": F.coalesce("weight", F.lit(1))}).drop("component")
-
-    # the matrix, of tokens that more than one group has; a set with more keys of its own than the smallest set there allows has no link by that token
-    member = written(member)
-    discard(posts, sizes, weighed)
-    spread = member.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("n").alias("least")).where("low <> high").select("token", "least")
-    rows = written(member.join(written(spread), "token").where(f"own <= {_DIFFERENCES.format(n='n', m='greatest(least, (4 * n + 4) div 5)')}").drop("least"))
-    discard(member)
-    reach = written(rows.groupBy("grp").agg(F.min("last").alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("own").alias("least_own"), F.first("weight").alias("heavy")))
-    union = written(rows.groupBy("token", F.col("grp").alias("open")).agg(F.min("doc").alias("b")).join(reach.withColumnRenamed("grp", "open"), "open"))
+    linked, tried, before = linked.select(F.col("a").alias("src"), F.col("b").alias("dst")), None, float("inf")
+    for k in range(ROUNDS + 1):
+        groups = components(linked)
+        weighed = written(groups.join(groups.groupBy("component").agg(F.count("*").alias("weight")), "component").select(F.col("node").alias("doc"), "component", "weight"))
+        member = posts.join(sizes, "doc").join(weighed, "doc", "left").withColumns({"grp": F.coalesce("component", "doc"), "weight": F.coalesce("weight", F.lit(1))}).drop("component")
+
+        # the matrix, of tokens that more than one group has; a set with more keys of its own than the smallest set there allows has no link by that token
+        member = written(member)
+        spread = written(member.groupBy("token").agg(F.min("grp").alias("low"), F.max("grp").alias("high"), F.min("n").alias("least")).where("low <> high").select("token", "least"))
+        rows = written(member.join(spread, "token").where(f"own <= {_DIFFERENCES.format(n='n', m='greatest(least, (4 * n + 4) div 5)')}").drop("least"))
+        discard(member, spread, weighed)
+        reach = written(rows.groupBy("grp").agg(F.min("last").alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"), F.min("own").alias("least_own"), F.first("weight").alias("heavy")))
+        union = written(rows.groupBy("token", F.col("grp").alias("open")).agg(F.min("doc").alias("b")).join(reach.withColumnRenamed("grp", "open"), "open"))
+
+        # many groups of one key would meet each other there: their documents are compared with further leaders, unless the last round parted few of them
+        crowded = written(union.groupBy("token").agg(F.count("*").alias("n_groups")).where(f"n_groups > {CROWD}"))
+        met = crowded.agg(F.sum(F.col("n_groups") * F.col("n_groups"))).first()[0] or 0
+        if k == ROUNDS or met <= PAIRS_A_ROW * rows.count() or met > 0.75 * before:
+            break
+        before = met
+        asks = _further_leaders(rows.join(F.broadcast(crowded.select("token")), "token"), tried)  # rows / PAIRS_A_ROW at most
+        more = _compared(asks.select(F.col("leader").alias("a"), F.col("doc").alias("b")), docs, sets_link, size)
+        tried = asks.select("leader").distinct() if tried is None else tried.unionByName(asks.select("leader")).distinct()
+        linked = written(linked.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+        discard(rows, reach, union, crowded)
+    discard(posts, sizes)
 
     # queries against groups of more documents that may link: those that lack more of the query's prefix than a link allows stay closed
     asking = rows.select("token", F.col("doc").alias("a"), F.col("grp").alias("of"), "n", "inner", "own", "weight")

@@ -608,6 +608,19 @@ def test_jaccard_links_by_keys_beyond_the_reach_of_a_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in jaccard.shingle_classes(documents(spark, texts), size=1).collect()} == expect
 
 
+def test_jaccard_copies_around_an_outlier_find_another_leader(spark, monkeypatch):
+    """Where the leader of a passage's keys links with none of its copies, further leaders are asked: copies don't meet each other by every key (pipeline, op7_ngram_jaccard_join)."""
+    shares, write = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df: shares.append(write(df)) or shares[-1] if {"a", "of", "open", "inner"} <= set(df.columns) else write(df))
+    base, other = [f"b{k}" for k in range(60)], [f"o{k}" for k in range(60)]
+    texts = [(5, " ".join(base)), *((i, " ".join(base + other + [f"x{i}"])) for i in (0, 1)), (2, " ".join(other + other[::-1])), (3, " ".join(other[::-1] + other))]
+    texts += [(10 + i, " ".join(base[: 5 + i % 50] + [f"c{i}"] + base[6 + i % 50 :])) for i in range(80)]
+    _, expect = classes(texts)
+    assert {expect[10 + i] for i in range(80)} == {5}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.shingle_classes(documents(spark, texts), levels=(10_000,)).collect()} == expect
+    assert len(shares) == 1 and shares[0].count() < 4 * len(texts), shares[0].count()
+
+
 def classes_of_words(texts):
     sets, root = {i: set(t.split()) for i, t in texts}, {i: i for i, _ in texts}
     for _ in texts:
