@@ -35,3 +35,13 @@ def test_trends(spark):
     first = daily.where("k = 'up'").orderBy("day").first()
     assert (first["n"], round(first["mean"], 9)) == (2, 0.1)
     assert {r["k"]: (r["days"], r["n"], r["trend"]) for r in lexicons.score_direction(daily, ["k"]).collect()} == {"up": (10, 11, "rising"), "down": (4, 4, "falling"), "flat": (5, 5, "stable"), "one": (1, 1, "stable")}
+
+
+def test_hits_of_keys_that_are_not_repeated_keep_no_words(spark):
+    """Words are told apart only where rows share a key (document_tones)."""
+    lexicon = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "y")], "word string, category string")
+    texts = [(1, "a b c c"), (2, "c"), (3, None)]
+    for rows, distinct in ((texts, False), (texts + [(1, "a c"), (None, "b")], True)):
+        got = lexicons.tones(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", F.split("text", " "), lexicon)
+        assert distinct == ("count(distinct" in got._jdf.queryExecution().analyzed().toString())
+        assert {(r["doc_id"], r["tone"], r["hits"]) for r in got.collect() if r["doc_id"]} == {(1, "x", 2), (2, "y", 1), (3, "neutral", 0)}

@@ -22,13 +22,22 @@ def _hits(df: DataFrame, key: str, words: Column, lexicon: DataFrame) -> DataFra
     return rows.join(F.broadcast(known) if known.count() <= KNOWN else known, "word")
 
 
+def _counter(df: DataFrame, key: str):
+    """How hits of a key are counted: where no two rows share it each word of a text is one row, so no task keeps words; else words are told apart."""
+    again = df.groupBy(key).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(key).isNull())
+    if again.isEmpty():
+        return lambda which: F.count(F.when(which, 1))
+    return lambda which: F.countDistinct(F.when(which, F.col("word")))
+
+
 def sentiment(df: DataFrame, key: str, words: Column, lexicon: DataFrame) -> DataFrame:
     """``key, positive, negative, score, label`` of every row's text: distinct words of the lexicon (``word, weight``) above and below 0, and (positive - negative) / sqrt(words + 1) within -1 and 1.
 
     A word that the lexicon has more than once counts by the sum of its weights. Texts that are null or without its words score 0. Rows that share a key share its hits.
     """
     weights = lexicon.groupBy("word").agg(F.sum("weight").alias("weight"))
-    found = _hits(df, key, words, weights).groupBy(F.col(key).alias("_key")).agg(F.countDistinct(F.when(F.col("weight") > 0, F.col("word"))).alias("positive"), F.countDistinct(F.when(F.col("weight") < 0, F.col("word"))).alias("negative"))
+    count = _counter(df, key)
+    found = _hits(df, key, words, weights).groupBy(F.col(key).alias("_key")).agg(count(F.col("weight") > 0).alias("positive"), count(F.col("weight") < 0).alias("negative"))
     n = df.select(key, F.coalesce(F.size(words), F.lit(0)).alias("n")).withColumn("n", F.greatest("n", F.lit(0)))
     out = n.join(found, F.col(key) == F.col("_key"), "left").select(key, "n", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("positive", "negative")))
     out = out.withColumn("score", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (F.col("positive") - F.col("negative")) / F.sqrt(F.col("n") + 1.0))))
@@ -38,7 +47,7 @@ def sentiment(df: DataFrame, key: str, words: Column, lexicon: DataFrame) -> Dat
 
 def tones(df: DataFrame, key: str, words: Column, lexicon: DataFrame, default: str = "neutral") -> DataFrame:
     """``key, tone, hits``: the category of the lexicon (``word, category``) with the most distinct words in the text, the least of equals; ``default`` and 0 where there is none."""
-    found = _hits(df, key, words, lexicon.select("word", "category")).groupBy(key, "category").agg(F.countDistinct("word").alias("hits"))
+    found = _hits(df, key, words, lexicon.select("word", "category")).groupBy(key, "category").agg(_counter(df, key)(F.lit(True)).alias("hits"))
     best = found.groupBy(F.col(key).alias("_key")).agg(F.min(F.struct((-F.col("hits")).alias("less"), "category")).alias("b"))
     return df.select(key).distinct().join(best, F.col(key) == F.col("_key"), "left").select(key, F.coalesce("b.category", F.lit(default)).alias("tone"), F.coalesce(-F.col("b.less"), F.lit(0).cast("long")).alias("hits"))
 
