@@ -6,9 +6,12 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tidemark import plans
 from tidemark.functions import text as X
-from tidemark.operators import chunks, classifiers, index
+from tidemark.operators import blocks, chunks, classifiers, index
 from tidemark.operators import text_stats as T
 
 
@@ -119,3 +122,32 @@ def test_centroid_classifier(spark):
     centroids = classifiers.label_centroids(weights, df.where("id < 100"), "id", "label")
     got = {r["id"]: r["predicted"] for r in classifiers.nearest_label(weights, centroids, "id").collect()}
     assert all(got[k] == label for k, _, label in rows[:200]) and not {900, 901, 902} & got.keys()
+
+
+@pytest.mark.parametrize("entries", [1 << 21, 60])
+def test_classified_texts_equal_the_joins(spark, monkeypatch, entries):
+    """In one block and in many: texts that share an id or have none, several labels of a text, ties, and no label at all; nothing for each word of each text stays on disk."""
+    monkeypatch.setattr(blocks, "ENTRIES", entries)
+    monkeypatch.setattr(blocks, "LEAST", min(entries, 1 << 17))
+    rng = random.Random(5)
+    rows = [(f"k{i:03}", " ".join(rng.choices("wave tide harbor sail cloud wing pilot common shared plain".split(), k=rng.randint(0, 12)))) for i in range(120)]
+    df = spark.createDataFrame([*rows, ("k200", "wave"), ("k200", "cloud"), ("k201", None), ("k202", "nothing known"), (None, "wave wave")], "id string, text string").repartition(3)
+    names = [None, "sea", "sky", "land"]
+    labels = spark.createDataFrame([(f"k{rng.randrange(90):03}", rng.choice(names)) for _ in range(70)] + [("k003", "sea"), ("k003", "sea"), ("k999", "sky"), (None, "sky")], "id string, label string")
+    words = T.hashed(X.words(F.col("text"), 3, X.STOP_WORDS))
+    for known in (labels, labels.where("false")):
+        texts = df.groupBy("id").agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+        n = df.count()
+        tf = T.word_rows(texts, "id", words).groupBy("id", "word").agg(F.count("*").alias("tf"))
+        w = tf.join(tf.groupBy("word").agg(F.count("*").alias("df")), "word").withColumn("w", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1))
+        w = w.withColumn("weight", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))).where("id is not null").select("id", "word", "weight")
+        expect = classifiers.nearest_label(w, classifiers.label_centroids(w, known, "id", "label"), "id")
+        key = lambda found: sorted((r["id"], r["predicted"], round(r["score"], 6)) for r in found.collect())
+        assert key(classifiers.classified_texts(df, "id", words, known, "label")) == key(expect)
+
+
+def test_disk_of_classified_texts(spark):
+    """What the query returns is read from its written labels: its plan exchanges no words."""
+    table = "/root/testdata/sf0.01"
+    found = plans.QUERIES["centroid_classifier"](spark, table)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString() and found.count() > 900

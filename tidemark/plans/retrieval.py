@@ -36,8 +36,8 @@ b AS (SELECT doc_id, label AS predicted, score FROM (SELECT *, row_number() OVER
 SELECT doc_id, predicted, round(score, 4) AS score FROM b""")
 def centroid_classifier(spark, sf):
     """The nearer of the centroids of labelled texts of high and low quality, for every text."""
-    weights = T.tfidf(read_texts(spark, sf), "doc_id", T.hashed(X.words(F.col("text"), 3, X.STOP_WORDS)))
-    found = classifiers.nearest_label(weights, classifiers.label_centroids(weights, read(spark, sf, "labels"), "doc_id", "quality"), "doc_id")
+    words = T.hashed(X.words(F.col("text"), 3, X.STOP_WORDS))
+    found = classifiers.classified_texts(read_texts(spark, sf), "doc_id", words, read(spark, sf, "labels"), "quality")
     return found.withColumn("score", F.round("score", 4))
 
 
