@@ -62,7 +62,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _counter(schema: pa.Schema):
+def _counter(schema: pa.Schema, most: int):
     """Batches of ``key, h`` become rows of blocks."""
 
     def row(number: int, keys: list, docs: list, words: list, counts: list, texts: int) -> pa.RecordBatch:
@@ -86,7 +86,7 @@ def _counter(schema: pa.Schema):
         for batch in batches:
             low, ends = 0, batch.column(1).offsets.to_numpy()
             while low < len(batch):
-                high = max(low + 1, min(low + 1024, int(np.searchsorted(ends, ends[low] + ENTRIES // 2)) - 1))
+                high = max(low + 1, min(low + 1024, int(np.searchsorted(ends, ends[low] + most // 2)) - 1))
                 part, low = batch.slice(low, high - low), high
                 h = part.column(1)
                 size = np.diff(h.offsets.to_numpy())
@@ -96,7 +96,7 @@ def _counter(schema: pa.Schema):
                 new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])]) if len(doc) else np.zeros(0, int)
                 keys, docs, words, counts = [*keys, part.column(0)], [*docs, doc[new] + texts], [*words, word[new]], [*counts, np.diff(np.r_[new, len(doc)])]
                 texts, entries = texts + len(part), entries + len(new)
-                if texts >= TEXTS or entries >= ENTRIES:
+                if texts >= TEXTS or entries >= most:
                     yield row(number, keys, docs, words, counts, texts)
                     keys, docs, words, counts, texts, entries, number = [], [], [], [], 0, 0, number + 1
         if texts:
@@ -105,11 +105,12 @@ def _counter(schema: pa.Schema):
     return run
 
 
-def counted(df: DataFrame, key: str, words: Column) -> DataFrame:
+def counted(df: DataFrame, key: str, words: Column, most: int | None = None) -> DataFrame:
     """``block, grp, entries, keys, s1, s2, words, texts, data``, written: a row for each block of texts, whose distinct words (64-bit hashes, in order) stand beside the texts that have them.
 
-    ``data`` has the entries: where each text's begin, places of words and counts. ``s1, s2`` are 128 bits of each text's words and counts. Texts that share a key are one. Small blocks that follow each other have one ``grp``.
+    ``data`` has the entries: where each text's begin, places of words and counts. ``s1, s2`` are 128 bits of each text's words and counts. Texts that share a key are one. Small blocks that follow each other have one ``grp``, of ``most`` entries (ENTRIES) or little more.
     """
+    most = most or ENTRIES
     rows = df.select(F.col(key).alias("key"), F.coalesce(words, F.array().cast("array<long>")).alias("h"))
     many = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n")).where("n > 1").select("_key")
     if not many.isEmpty():
@@ -119,9 +120,9 @@ def counted(df: DataFrame, key: str, words: Column) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     schema = f"block long, entries long, keys array<{kind}>, s1 array<long>, s2 array<long>, words array<long>, texts array<int>, data binary"
     spark = df.sparkSession
-    blocks = written(rows.mapInArrow(_counter(arrow(schema)), schema))
+    blocks = written(rows.mapInArrow(_counter(arrow(schema), most), schema))
     sizes = sorted((r["block"], r["entries"], r["n"]) for r in blocks.select("block", "entries", F.size("keys").alias("n")).collect())
-    most, grp, texts, entries, of = min(ENTRIES, max(LEAST, sum(s[1] for s in sizes) // CUTS)), 0, 0, 0, []
+    most, grp, texts, entries, of = min(most, max(LEAST, sum(s[1] for s in sizes) // CUTS)), 0, 0, 0, []
     for block, e, n in sizes:
         if texts and (texts + n > TEXTS or entries + e > most):
             grp, texts, entries = grp + 1, 0, 0
