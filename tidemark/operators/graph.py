@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,18 @@ def checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(at or spark.conf.get("spark.sql.warehouse.dir") + "/checkpoints")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m"):
+    """Rows go to Python workers in batches of about ``size``: a worker and the buffers of its batches share an executor's memory with the heap. For what is written inside."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table beside the checkpoints and read again, which cuts its lineage."""
     spark = df.sparkSession
